@@ -5,8 +5,10 @@ from __future__ import annotations
 import re
 import tempfile
 import uuid
+import zipfile
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -18,6 +20,7 @@ UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 ARROW_ROWS = 1000
 
 _local_root: dict[str, str] = {}
+_shipped: set[str] = set()
 
 
 def shared_root(spark: SparkSession) -> str:
@@ -48,8 +51,23 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def ship(spark: SparkSession) -> None:
+    """Gives the Python workers this package, wherever they run and whatever their search path is."""
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    top = Path(__file__).resolve().parents[2]
+    path = f"{tempfile.mkdtemp(prefix='tessera-code-')}/tessera_code.zip"
+    with zipfile.ZipFile(path, "w") as z:
+        for p in sorted(top.glob("tessera/**/*.py")):
+            z.write(p, p.relative_to(top))
+    spark.sparkContext.addPyFile(path)  # the driver serves it to executors
+    _shipped.add(app)
+
+
 def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
     """Bounds Arrow batches, which count rows and not bytes."""
+    ship(spark)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
 
 
