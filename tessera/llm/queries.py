@@ -2,11 +2,19 @@
 
 from __future__ import annotations
 
-from . import bitplanes, packing
+from . import bitplanes, licenses, mixing, neardup, packing, quality, sharding, viterbi
 
 QUERIES = {
     "op1_token_planes": bitplanes.op1_token_planes,
     "op2_best_two_fit": packing.op2_best_two_fit,
+    "op4_viterbi_counts": viterbi.op4_viterbi_counts,
+    "op5_curriculum_mix": mixing.op5_curriculum_mix,
+    "op6_subword_quality": quality.op6_subword_quality,
+    "op7_near_duplicates": neardup.op7_near_duplicates,
+    "op8_license_index": licenses.op8_license_index,
+    "op10_bounded_ring": sharding.op10_bounded_ring,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+ORACLE_SQL: dict[str, str] = {
+    "op5_curriculum_mix": mixing.OP5_SQL,
+}
