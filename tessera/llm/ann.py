@@ -82,6 +82,26 @@ def fit_index(sample, n: int, parts: int = 16, max_lists: int = MAX_LISTS) -> di
     return {"coarse": coarse, "books": books, "width": width}
 
 
+def probe_share(sample, model: dict, k: int, target: float, queries: int = 200) -> float:
+    """The share of lists that holds `target` of the k nearest neighbours, as queries drawn from the sample find them
+    in the sample by brute force."""
+    import numpy as np
+
+    x = np.asarray(sample, "f4")
+    if len(x) < 2:
+        return 1.0
+    c, home = model["coarse"], nearest(x, model["coarse"])[0]
+    places = []
+    for q in range(0, len(x), max(1, len(x) // queries)):
+        d = ((x - x[q]) ** 2).sum(axis=1)
+        d[q] = np.inf
+        near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
+        order = np.empty(len(c), "i8")
+        order[np.argsort(((c - x[q]) ** 2).sum(axis=1), kind="stable")] = np.arange(len(c))
+        places.append(order[home[near]])
+    return float(np.quantile(np.concatenate(places), target) + 1) / len(c)
+
+
 def encode_vectors(x, model: dict):
     """(list, codes) of each row."""
     import numpy as np
@@ -154,11 +174,11 @@ def _search(left, right, model, keep: int, rerank: int):
     return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["q", "entry", "score"])
 
 
-def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMPLE, probe_share: float = 0.12, rerank: int = RERANK, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMPLE, recall: float = 0.97, rerank: int = RERANK, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest rows found for each row where is_query holds (a condition on
     vec_id), the row itself left out.
 
-    probe_share: the part of all lists that a query looks into, 8 lists at least."""
+    recall: queries look into as large a share of the lists as finds this part of the neighbours in the sample."""
     spark = vectors.sparkSession
     small_batches(spark, 5000)
     src = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
@@ -175,11 +195,14 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMP
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
     picked = entries.select("vec", F.xxhash64("entry").alias("h"), "entry").orderBy("h", "entry").limit(sample).select("vec").toArrow()
-    model = spark.sparkContext.broadcast(fit_index(_rows(picked.column(0).combine_chunks()), n))  # bounded by sample, max_lists
+    drawn = _rows(picked.column(0).combine_chunks())
+    fitted = fit_index(drawn, n)
+    share = probe_share(drawn, fitted, k, recall)
+    model = spark.sparkContext.broadcast(fitted)  # bounded by sample and MAX_LISTS
     index = save(entries.select("entry", "vec").mapInArrow(lambda it: _index(it, model), "entry long, vec array<double>, list int, code binary"), "index")
     sizes = {r.list: r.n for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a list
     lists = len(model.value["coarse"])
-    probes = [min(lists, max(8, round(probe_share * lists))), k + 1, *(sizes.get(j, 0) for j in range(lists))]
+    probes = [min(lists, max(8, math.ceil(share * lists))), k + 1, *(sizes.get(j, 0) for j in range(lists))]
     asked = queries.select("same").distinct().join(entries, "same").select("entry", "vec")
     asked = asked.mapInArrow(lambda it: _probe(it, model, probes), "entry long, vec array<double>, lists array<int>").select("entry", "vec", F.explode("lists").alias("list"))
     asked = save(asked, "probes")

@@ -221,3 +221,15 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Components of documents under three-word shingles at similarity 0.85."""
     return near_duplicates(documents(spark, sf_dir), shingle=3, num=85)
+
+
+def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
+    """docs without the rows that a group of near-duplicates can spare: the document of the group's smallest doc_id
+    stays. Rows that share a doc_id go or stay together, and one of them stays. Rows without a doc_id all stay."""
+    out = save(near_duplicates(docs, key=key, text=text, **options).where("doc_id IS NOT NULL").select("doc_id", "kept"), "kept")
+    gone = out.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
+    own = docs.where(F.col(key).isNotNull())
+    left = own.join(gone, own[key].cast("long") == gone["_gone"], "left_anti")
+    if out.groupBy("doc_id").count().where("count > 1").limit(1).count():  # else no row can repeat a doc_id
+        left = left.dropDuplicates([key])
+    return left.unionByName(docs.where(F.col(key).isNull()))

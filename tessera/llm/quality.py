@@ -170,3 +170,22 @@ def op6_subword_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir)
     out = score(docs, fit(docs, documents(spark, sf_dir, "labels")))
     return out.select("doc_id", held_out(F.col("doc_id")).alias("held_out"), "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
+def _keep(batches: Iterator, model, at: int) -> Iterator:
+    import pyarrow as pa
+    import pyarrow.compute as pc
+
+    for b in batches:
+        text = pa.RecordBatch.from_arrays([b.column(at), b.column(at)], ["a", "b"])
+        scored = next(_score(iter([text]), model))
+        yield b.filter(pc.greater_equal(scored.column(1), 0.5))
+
+
+def keep(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
+    """The rows whose score is 0.5 or more, with all their columns; one scan, no join."""
+    spark = docs.sparkSession
+    small_batches(spark)
+    sent = spark.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+    return docs.mapInArrow(lambda it: _keep(it, sent, at), docs.schema)
