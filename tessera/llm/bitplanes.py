@@ -85,7 +85,7 @@ def _encode(batches: Iterator, tokenizer: str, spans: str, width: int, end_id: i
     for b in batches:
         key = b.column(0)
         at = np.array([0 if k is None else int(np.searchsorted(edges, float(k), "left")) for k in key.to_pylist()], "i4")
-        ids = pa.array((tok.encode(t.as_py()) + end for t in b.column(1)), pa.large_binary()).cast(pa.binary())
+        ids = pa.array([x + end for x in tok.encode_all(b.column(1).to_pylist())], pa.binary())
         yield pa.record_batch([pa.array(at), key, ids], ["shard", "doc_id", "ids"])
 
 

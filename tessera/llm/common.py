@@ -95,14 +95,20 @@ def rows_table(spark: SparkSession, rows: Iterable[dict], ddl: str) -> DataFrame
 # --- tokenizing -----------------------------------------------------------------------------------------------
 
 _WS = r"\t-\r \x85\xa0  -     　"
-#: Where byte-level pre-tokenization always cuts: one span is a run of non-space with at most one space before it,
-#: or white space that no such run takes.
-BYTE_SPANS = re.compile(f" ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
-#: A vocabulary that drops white space: its spans are the runs of non-space.
-WORD_SPANS = re.compile(f"[^{_WS}]+")
-#: A place where a long text can be parted without changing any span: before a space between two non-spaces.
+_LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-&(-/:-@\\[-`{-~])"
+#: Where byte-level pre-tokenization always cuts. One span is a run of Latin letters before ASCII punctuation other
+#: than an apostrophe, or a run of non-space, either with at most one space before it, or white space that neither takes.
+BYTE_SPANS = re.compile(f" ?{_LETTERS}| ?[^{_WS}]+|[{_WS}]+(?![^{_WS}])|[{_WS}]")
+#: A vocabulary that drops white space: its spans are the runs of non-space, cut in the same way.
+WORD_SPANS = re.compile(f"{_LETTERS}|[^{_WS}]+")
+#: Marks that may compose with a letter of either case and not of the other.
+_MARKS = re.compile("[̀-ͯ᪰-᫿᷀-᷿⃐-⃿︠-︯]")
 _SAFE_CUT = re.compile(f"(?<=[^{_WS}]) (?=[^{_WS}])")
 _SLICE = 1 << 18
+#: A space before white space or the end.
+_IN_A_ROW = re.compile(f" (?=[{_WS}]|\\Z)")
+#: What Python's str.split takes for white space and the tokenizers don't.
+_NOT_SPACE = re.compile("[\x1c-\x1f]")
 
 
 def slices(text: str) -> Iterator[str]:
@@ -114,43 +120,97 @@ def slices(text: str) -> Iterator[str]:
     yield text[at:] if at else text
 
 
+#: One pre-token of either vocabulary kind, and one that normalization can only lower-case.
+_RUN = re.compile(" ?[A-Za-zÀ-ÖØ-öø-ÿ]+")
+
+
+def _byte_alphabet() -> dict[int, str]:
+    """The characters by which byte-level vocabularies spell bytes."""
+    plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = [b for b in range(256) if b not in plain]
+    return {b: chr(b) for b in plain} | {b: chr(256 + k) for k, b in enumerate(rest)}
+
+
+class _Seen(dict):
+    """Pieces and their ids; a new one is encoded as it is looked up, and kept unless it is unlikely to come again."""
+
+    def __init__(self, learn):
+        super().__init__()
+        self.learn = learn
+
+    def __missing__(self, piece: str) -> bytes:
+        ids = self.learn(piece)
+        if len(piece) <= 32 and "\n" not in piece:
+            self[piece] = ids
+        return ids
+
+
 class SpanTokenizer:
     """Whole-text ids of a `tokenizers` file, by way of a bounded cache of its spans.
 
     A span (see BYTE_SPANS, WORD_SPANS) is a part of the text that the tokenizer's own pre-tokenization never joins
     to its neighbours, so the ids of a text are those of its spans in order. Each span is encoded by the library once
-    and then looked up; natural text repeats its words, so this costs a fraction of encoding every text again.
-    Ids are little-endian, of `width` bytes. Strings of special tokens in a text are ordinary text."""
+    and then looked up; natural text repeats its words, so this costs a fraction of encoding every text again. A span
+    that is one run of Latin letters goes to the library's model directly, others through all its steps.
+
+    Texts are first cut at spaces, which is quick, into pieces of one span or a few; a text whose white space would make
+    that wrong (spaces in a row) is cut into spans right away.
+    Ids are little-endian, of `width` bytes. Strings of special tokens in a text are ordinary text.
+    The cache has two generations of `cap` pieces; what the older holds moves up when it is met."""
 
-    def __init__(self, path: str, spans: re.Pattern, width: int, cap: int = 400_000):
+    def __init__(self, path: str, kind: str, width: int, cap: int = 500_000):
         from tokenizers import Tokenizer
 
         self.tok = Tokenizer.from_file(path)
         self.tok.encode_special_tokens = True
-        self.spans, self.dtype, self.cap = spans, f"<u{width}", cap
-        self.seen: dict[str, bytes] = {}
-
-    def _learn(self, new: list[str]) -> None:
-        import numpy as np
-
-        for k in range(0, len(new), 4096):
-            part = new[k : k + 4096]
-            for span, enc in zip(part, self.tok.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.seen[span] = np.array(enc.ids, self.dtype).tobytes()
+        self.model = self.tok.model
+        self.spans, self.drops_space = {"byte": (BYTE_SPANS, False), "word": (WORD_SPANS, True)}[kind]
+        self.lead = "" if self.drops_space else " "
+        self.width, self.cap, self.dtype = width, cap, f"<u{width}"
+        self.alphabet = _byte_alphabet()
+        self.seen, self.old = _Seen(self._learn), {}  # pieces after a space, or of a tokenizer that drops spaces
+        self.bare = _Seen(self._encode)  # spans without a space before them
+
+    def _encode(self, span: str) -> bytes:
+        if _RUN.fullmatch(span):
+            word = span.lower() if self.drops_space else span
+            got = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
+        else:
+            got = self.tok.encode(span, add_special_tokens=False).ids
+        return b"".join(i.to_bytes(self.width, "little") for i in got)
+
+    def _learn(self, piece: str) -> bytes:
+        if (ids := self.old.get(piece)) is not None:
+            return ids
+        spans = self.spans.findall(self.lead + piece)
+        if len(spans) == 1:
+            return self._encode(spans[0])
+        return self._join(spans)
+
+    def _join(self, spans: list[str]) -> bytes:
+        if self.drops_space:
+            return b"".join(map(self.seen.__getitem__, spans))
+        return b"".join(self.seen[s[1:]] if s[0] == " " and len(s) > 1 else self.bare[s] for s in spans)
 
     def encode(self, text: str | None) -> bytes:
         if not text:
             return b""
-        out = []
-        for part in slices(text):
-            if len(self.seen) > self.cap:
-                self.seen.clear()
-            spans = self.spans.findall(part)
-            seen = self.seen
-            if new := [s for s in set(spans) if s not in seen]:
-                self._learn(new)
-            out.append(b"".join(map(seen.__getitem__, spans)))
-        return b"".join(out)
+        if len(self.seen) > self.cap:
+            self.old, self.seen = self.seen, _Seen(self._learn)
+        if len(self.bare) > self.cap:
+            self.bare.clear()
+        if self.drops_space:
+            if not _MARKS.search(text):
+                text = text.encode().lower().decode()  # of A-Z only: fewer pieces to know
+            pieces = self.spans.findall(text) if _NOT_SPACE.search(text) else text.split()
+            return b"".join(map(self.seen.__getitem__, pieces))
+        if _IN_A_ROW.search(text):
+            return b"".join(self._join(self.spans.findall(part)) for part in slices(text))
+        first, *pieces = text.split(" ")
+        return (self._join(self.spans.findall(first)) if first else b"") + b"".join(map(self.seen.__getitem__, pieces))
+
+    def encode_all(self, texts: list[str | None]) -> list[bytes]:
+        return [self.encode(t) for t in texts]
 
 
 @lru_cache(maxsize=4)
@@ -159,7 +219,7 @@ def span_tokenizer(path: str, kind: str, width: int) -> SpanTokenizer:
     import os
 
     os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
-    return SpanTokenizer(path, {"byte": BYTE_SPANS, "word": WORD_SPANS}[kind], width)
+    return SpanTokenizer(path, kind, width)
 
 
 def vocabulary_width(path: str) -> int:

@@ -103,8 +103,8 @@ def _pieces(batches: Iterator, tokenizer: str, spans: str, end_id: int, capacity
     lot, ranks = TaskContext.get().partitionId(), {}
     for b in batches:
         out: list[tuple] = []
-        for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            raw = tok.encode(text.as_py()) + end
+        for doc, raw in zip(b.column(0).to_pylist(), tok.encode_all(b.column(1).to_pylist()), strict=True):
+            raw += end
             for k in range(0, len(raw), 4 * capacity):
                 part = raw[k : k + 4 * capacity]
                 n = len(part) // 4
