@@ -166,10 +166,13 @@ def write_media(docs: DataFrame, path: str, key: str = "doc_id", text: str = "te
     sent = spark.sparkContext.broadcast(bloom(shared))
     rows = src.mapInArrow(lambda it: _packs(it, sent), f"kind int, {MEDIA_DDL}, {CHUNK_DDL}")
     rows.write.option("compression", "zstd").partitionBy("kind").parquet(f"{path}/media")
-    once = spark.read.schema(StructType.fromDDL(f"kind int, {CHUNK_DDL}")).parquet(f"{path}/media").where("kind = 1")
+    folders = [spark._jvm.org.apache.hadoop.fs.Path(f"{path}/media/kind={k}") for k in (0, 1)]
+    store = folders[0].getFileSystem(spark._jsc.hadoopConfiguration())
+    for f in folders:  # either may have had no rows
+        store.mkdirs(f)
+    once = spark.read.schema(StructType.fromDDL(CHUNK_DDL)).parquet(f"{path}/media/kind=1")
     once.groupBy("digest").agg(F.first("payload").alias("payload")).write.option("compression", "zstd").parquet(f"{path}/chunks")
-    folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/media/kind=1")
-    folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+    store.delete(folders[1], True)
 
 
 def _verified(digest: bytes, part: bytes) -> bytes:

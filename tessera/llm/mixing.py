@@ -112,13 +112,16 @@ def passes(max_repeats: float) -> int:
 
 
 def mix(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, total_share: float = 1.5, max_repeats: float = 2.0, whole: bool = True, keep: Sequence[str] = (), **names: str) -> DataFrame:
-    """The mix in training order: a row for each copy taken, with doc_id, copy, words, position and the columns in keep."""
+    """The mix in training order: a row for each copy taken, with doc_id, copy, words, position and the columns in keep,
+    which stand for the operator's own where names are the same."""
     plan = plan_mix(docs, schedules, total_share, max_repeats, keep=keep, **names)
     copies = plan.withColumn("copy", F.explode(F.array(*(F.lit(k) for k in range(passes(max_repeats))))))
     taken = copies.withColumn("words", copy_words(F.col("copy"), whole)).where("words > 0")
     spent = (F.col("copy") * F.col("source_size") + F.col("before") + F.col("words") / 2) / F.col("goal")
     placed = taken.withColumn("position", invert(schedules, F.col("nth"), F.least(spent, F.lit(1.0))))
-    return placed.select("doc_id", "copy", "words", "position", *(F.col(f"_kept_{c}").alias(c) for c in keep)).orderBy("position", "doc_id", "copy")
+    ordered = placed.orderBy("position", "doc_id", "copy")
+    kept = [F.col(f"_kept_{c}").alias(c) for c in keep]
+    return ordered.select(*(c for c in ("doc_id", "copy", "words", "position") if c not in keep), *kept)
 
 
 def op5_curriculum_mix(spark: SparkSession, sf_dir: str) -> DataFrame:

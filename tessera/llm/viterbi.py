@@ -8,7 +8,7 @@ the lowest score, and counts as its UTF-8 bytes where the vocabulary has byte pi
 Pieces hold the space mark at their beginning only, so no piece crosses from a word into the mark after it, and where
 all scores are integers sums are exact in double precision: the best path of a text is then that of its words in
 order, ties included. Words are kept in a bounded table, so common ones are solved once. Where a vocabulary lacks
-either property the whole text is one lattice.
+either property, or joins unknown characters into one piece, which may reach over a mark, the whole text is one lattice.
 
 Normalization is that of the vocabulary's own tokenizer: a mark before the text, spaces to marks, nothing else.
 
@@ -55,7 +55,7 @@ class Counter:
         self.tree.make_automaton()
         self.byte_fallback = byte_fallback
         self.unknown = min((s for _, s in pieces), default=0.0) - 10
-        self.by_word = all(s == int(s) and abs(s) < 1 << 31 for _, s in pieces) and not any(MARK in p.lstrip(MARK) for p, _ in pieces)
+        self.by_word = byte_fallback and all(s == int(s) and abs(s) < 1 << 31 for _, s in pieces) and not any(MARK in p.lstrip(MARK) for p, _ in pieces)
         self.cap, self.seen = cap, {}
         self.count, self.score = np.zeros(cap + 1, "i8"), np.zeros(cap + 1, "f8")
 
