@@ -37,9 +37,9 @@ SQL: dict[str, str | tuple[str, str]] = {
     "filter_and_or_not": "SELECT o_orderkey FROM orders WHERE NOT o_orderstatus = 'F' AND (o_totalprice > 100000 OR o_orderpriority = '1-URGENT')",
     "is_true_family": "SELECT c_custkey, (c_acctbal > 0) IS TRUE AS t, (c_acctbal > 0) IS FALSE AS f, (c_acctbal > 0) IS NOT TRUE AS nt, (c_acctbal > 0) IS NOT FALSE AS nf, NULL IS NOT TRUE AS n FROM customer",
     "is_null": "SELECT c.c_custkey AS k, o.o_orderkey IS NULL AS absent, o.o_orderkey IS NOT NULL AS there FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000",
-    "like": "SELECT p_partkey FROM part WHERE p_name LIKE '%a_%1%'",
-    "not_like": "SELECT p_partkey FROM part WHERE p_name NOT LIKE '%1%'",
-    "ilike": "SELECT p_partkey FROM part WHERE p_name ILIKE '%PART%' AND p_brand NOT ILIKE '%#1%'",
+    "like": "SELECT p_partkey FROM part WHERE p_name LIKE '%wid_et'",
+    "not_like": "SELECT p_partkey FROM part WHERE p_name NOT LIKE '%e%'",
+    "ilike": "SELECT p_partkey FROM part WHERE p_name ILIKE '%BOLT' AND p_brand NOT ILIKE 'brand#1%'",
     "in_list": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey IN (1, 3, 5, 7)",
     "not_in_list": "SELECT n_nationkey, n_name FROM nation WHERE n_nationkey NOT IN (1, 3, 5, 7)",
     "in_subquery": "SELECT o_orderkey FROM orders WHERE o_custkey IN (SELECT c_custkey FROM customer WHERE c_acctbal > 5000)",
