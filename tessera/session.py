@@ -277,7 +277,8 @@ class Session:
         if s.name != "tpcc":
             raise ValueFault(f"no dataset {s.name}")
         made = 0
-        for stmt in parse_statements(tpcc.DDL):
+        for name in tpcc.TABLES:
+            stmt = parse_statement(tpcc.ddl(name))
             assert isinstance(stmt, A.CreateTable)
             if s.if_not_exists and txn.find_table(stmt.name):
                 continue

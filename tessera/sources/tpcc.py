@@ -10,17 +10,28 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DDL = """
-CREATE TABLE warehouse (w_id INTEGER PRIMARY KEY, w_name VARCHAR(10), w_street_1 VARCHAR(20), w_street_2 VARCHAR(20), w_city VARCHAR(20), w_state CHAR(2), w_zip CHAR(9), w_tax DECIMAL(4,4), w_ytd DECIMAL(12,2));
-CREATE TABLE district (d_id INTEGER, d_w_id INTEGER, d_name VARCHAR(10), d_street_1 VARCHAR(20), d_street_2 VARCHAR(20), d_city VARCHAR(20), d_state CHAR(2), d_zip CHAR(9), d_tax DECIMAL(4,4), d_ytd DECIMAL(12,2), d_next_o_id INTEGER, PRIMARY KEY (d_w_id, d_id));
-CREATE TABLE customer (c_id INTEGER, c_d_id INTEGER, c_w_id INTEGER, c_first VARCHAR(16), c_middle CHAR(2), c_last VARCHAR(16), c_street_1 VARCHAR(20), c_street_2 VARCHAR(20), c_city VARCHAR(20), c_state CHAR(2), c_zip CHAR(9), c_phone CHAR(16), c_since TIMESTAMP, c_credit CHAR(2), c_credit_lim DECIMAL(12,2), c_discount DECIMAL(4,4), c_balance DECIMAL(12,2), c_ytd_payment DECIMAL(12,2), c_payment_cnt INTEGER, c_delivery_cnt INTEGER, c_data VARCHAR(500), PRIMARY KEY (c_w_id, c_d_id, c_id));
-CREATE TABLE history (h_c_id INTEGER, h_c_d_id INTEGER, h_c_w_id INTEGER, h_d_id INTEGER, h_w_id INTEGER, h_date TIMESTAMP, h_amount DECIMAL(6,2), h_data VARCHAR(24), PRIMARY KEY (h_c_id, h_c_d_id, h_c_w_id, h_d_id, h_w_id));
-CREATE TABLE new_order (no_o_id INTEGER, no_d_id INTEGER, no_w_id INTEGER, PRIMARY KEY (no_w_id, no_d_id, no_o_id));
-CREATE TABLE "order" (o_id INTEGER, o_d_id INTEGER, o_w_id INTEGER, o_c_id INTEGER, o_entry_d TIMESTAMP, o_carrier_id INTEGER, o_ol_cnt INTEGER, o_all_local CHAR(1), PRIMARY KEY (o_w_id, o_d_id, o_id));
-CREATE TABLE order_line (ol_o_id INTEGER, ol_d_id INTEGER, ol_w_id INTEGER, ol_number INTEGER, ol_i_id INTEGER, ol_supply_w_id INTEGER, ol_delivery_d TIMESTAMP, ol_quantity INTEGER, ol_amount DECIMAL(6,2), ol_dist_info CHAR(24), PRIMARY KEY (ol_o_id, ol_d_id, ol_w_id, ol_number));
-CREATE TABLE item (i_id INTEGER PRIMARY KEY, i_im_id INTEGER, i_name VARCHAR(24), i_price DECIMAL(5,2), i_data VARCHAR(50));
-CREATE TABLE stock (s_i_id INTEGER, s_w_id INTEGER, s_quantity INTEGER, s_dist_01 CHAR(24), s_dist_02 CHAR(24), s_dist_03 CHAR(24), s_dist_04 CHAR(24), s_dist_05 CHAR(24), s_dist_06 CHAR(24), s_dist_07 CHAR(24), s_dist_08 CHAR(24), s_dist_09 CHAR(24), s_dist_10 CHAR(24), s_ytd INTEGER, s_order_cnt INTEGER, s_remote_cnt INTEGER, s_data VARCHAR(50), PRIMARY KEY (s_w_id, s_i_id));
-"""
+#: table: (prefix of its columns, runs of columns of one type, key)
+TABLES = {
+    "warehouse": ("w", "i id; s name street_1 street_2 city state zip; f tax ytd", "id"),
+    "district": ("d", "i id w_id; s name street_1 street_2 city state zip; f tax ytd; i next_o_id", "w_id id"),
+    "customer": ("c", "i id d_id w_id; s first middle last street_1 street_2 city state zip phone; t since; s credit; f credit_lim discount balance ytd_payment; i payment_cnt delivery_cnt; s data", "w_id d_id id"),
+    "history": ("h", "i c_id c_d_id c_w_id d_id w_id; t date; f amount; s data", "c_id c_d_id c_w_id d_id w_id"),
+    "new_order": ("no", "i o_id d_id w_id", "w_id d_id o_id"),
+    "order": ("o", "i id d_id w_id c_id; t entry_d; i carrier_id ol_cnt; s all_local", "w_id d_id id"),
+    "order_line": ("ol", "i o_id d_id w_id number i_id supply_w_id; t delivery_d; i quantity; f amount; s dist_info", "o_id d_id w_id number"),
+    "item": ("i", "i id im_id; s name; f price; s data", "id"),
+    "stock": ("s", "i i_id w_id quantity; s dist_01 dist_02 dist_03 dist_04 dist_05 dist_06 dist_07 dist_08 dist_09 dist_10; i ytd order_cnt remote_cnt; s data", "w_id i_id"),
+}
+KINDS = {"i": "INTEGER", "f": "DOUBLE", "s": "TEXT", "t": "TIMESTAMP"}
+
+
+def ddl(table: str) -> str:
+    """The statement that makes a table."""
+    prefix, runs, key = TABLES[table]
+    columns = [f"{prefix}_{name} {KINDS[run.split()[0]]}" for run in runs.split("; ") for name in run.split()[1:]]
+    return f'CREATE TABLE "{table}" ({", ".join(columns)}, PRIMARY KEY ({", ".join(f"{prefix}_{k}" for k in key.split())}))'
+
+
 DISTRICTS, CUSTOMERS, ORDERS, ITEMS, NEW = 10, 100, 100, 10_000, 30
 SYLLABLES = ("BAR", "OUGHT", "ABLE", "PRI", "PRES", "ESE", "ANTI", "CALLY", "ATION", "EING")
 NOW = "2025-01-01 00:00:00"
@@ -122,5 +133,5 @@ def generate(spark: SparkSession, table: str, warehouses: int = 10, seed: int =
 
 def export_csv(spark: SparkSession, folder: str, warehouses: int = 10, seed: int = 42) -> None:
     """A folder of CSV files for each table."""
-    for t in ("warehouse", "district", "customer", "history", "new_order", "order", "order_line", "item", "stock"):
+    for t in TABLES:
         generate(spark, t, warehouses, seed).write.mode("overwrite").option("header", True).csv(f"{folder}/{t}")

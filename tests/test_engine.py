@@ -266,38 +266,38 @@ def test_functions(t):
 
 SCRIPTS = {
     "basic": """
-# employees
+# staff
 statement ok
-CREATE TABLE employees (emp_id INTEGER PRIMARY KEY, name VARCHAR(100) NOT NULL, department VARCHAR(50), salary DECIMAL(10,2) NOT NULL, hire_date TIMESTAMP, active BOOLEAN DEFAULT TRUE)
+CREATE TABLE staff (no INTEGER PRIMARY KEY, who TEXT NOT NULL, team TEXT, pay DECIMAL(9,2) NOT NULL, since TIMESTAMP, active BOOLEAN DEFAULT TRUE)
 
 statement ok
-INSERT INTO employees (emp_id, name, department, salary, hire_date) VALUES (1, 'Alice', 'Engineering', 70000.00, '2022-01-15 09:30:00'), (2, 'Bob', 'Marketing', 50000, '2021-09-10 10:00:00')
+INSERT INTO staff (no, who, team, pay, since) VALUES (1, 'Ada', 'Tools', 70000.00, '2022-01-15 09:30:00'), (2, 'Ben', 'Sales', 50000, '2021-09-10 10:00:00')
 
 statement ok
-INSERT INTO employees (emp_id, name, salary, active) VALUES (4, 'Diana', 60000.00, TRUE)
+INSERT INTO staff (no, who, pay, active) VALUES (4, 'Dora', 60000.00, TRUE)
 
 query rowsort
-SELECT emp_id, salary + 5000 FROM employees WHERE department = 'Engineering'
+SELECT no, pay + 5000 FROM staff WHERE team = 'Tools'
 ----
 1 75000.00
 
 query
-SELECT name, hire_date FROM employees WHERE emp_id = 1
+SELECT who, since FROM staff WHERE no = 1
 ----
-'Alice' '2022-01-15 09:30:00'
+'Ada' '2022-01-15 09:30:00'
 
 query rowsort
-SELECT department, COUNT(*) AS n FROM employees GROUP BY department
+SELECT team, COUNT(*) AS n FROM staff GROUP BY team
 ----
 NULL 1
-'Engineering' 1
-'Marketing' 1
+'Tools' 1
+'Sales' 1
 
 statement error
-INSERT INTO employees (emp_id, name, salary) VALUES (1, 'Again', 1)
+INSERT INTO staff (no, who, pay) VALUES (1, 'Again', 1)
 
 statement error
-INSERT INTO employees (emp_id, name, salary) VALUES (9, NULL, 1)
+INSERT INTO staff (no, who, pay) VALUES (9, NULL, 1)
 
 halt
 
@@ -306,24 +306,24 @@ NOT REACHED
 """,
     "join": """
 statement ok
-CREATE TABLE departments (dept_id INTEGER PRIMARY KEY, dept_name VARCHAR(50) NOT NULL)
+CREATE TABLE teams (team INTEGER PRIMARY KEY, title TEXT NOT NULL)
 
 statement ok
-CREATE TABLE employees (emp_id INTEGER PRIMARY KEY, emp_name VARCHAR(50) NOT NULL, dept_id INTEGER)
+CREATE TABLE staff (no INTEGER PRIMARY KEY, who TEXT NOT NULL, team INTEGER)
 
 statement ok
-INSERT INTO departments (dept_id, dept_name) VALUES (1, 'Engineering'), (2, 'HR'), (3, 'Sales')
+INSERT INTO teams (team, title) VALUES (1, 'Tools'), (2, 'HR'), (3, 'Sales')
 
 statement ok
-INSERT INTO employees (emp_id, emp_name, dept_id) VALUES (101, 'Alice', 1), (102, 'Bob', 1), (103, 'Carol', 2), (104, 'David', NULL)
+INSERT INTO staff (no, who, team) VALUES (101, 'Ada', 1), (102, 'Ben', 1), (103, 'Cleo', 2), (104, 'Dan', NULL)
 
 sleep 1ms
 
 query rowsort
-SELECT e.emp_id, d.dept_name FROM employees AS e JOIN departments AS d ON e.dept_id = d.dept_id
+SELECT e.no, d.title FROM staff AS e JOIN teams AS d ON e.team = d.team
 ----
-101 'Engineering'
-102 'Engineering'
+101 'Tools'
+102 'Tools'
 103 'HR'
 """,
 }
