@@ -48,7 +48,16 @@ def save(df: DataFrame, name: str, codec: str = "zstd") -> DataFrame:
     spark = df.sparkSession
     path = new_path(spark, name)
     df.write.option("compression", codec).parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.saved_at = path
+    return out
+
+
+def drop(*tables: DataFrame) -> None:
+    """Deletes saved tables that nothing reads any more."""
+    for t in tables:
+        path = t.sparkSession._jvm.org.apache.hadoop.fs.Path(t.saved_at)
+        path.getFileSystem(t.sparkSession._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def ship(spark: SparkSession) -> None:
@@ -92,7 +101,7 @@ def rows_table(spark: SparkSession, rows: Iterable[dict], ddl: str) -> DataFrame
     return spark.range(1).select(F.inline(F.from_json(F.lit(text), f"array<struct<{ddl}>>")))
 
 
-# --- tokenizing -----------------------------------------------------------------------------------------------
+# --- tokenizing
 
 _WS = r"\t-\r \x85\xa0  -     　"
 _LETTERS = "[A-Za-zÀ-ÖØ-öø-ÿ]++(?=[!-&(-/:-@\\[-`{-~])"
@@ -228,7 +237,7 @@ def vocabulary_width(path: str) -> int:
     return 2 if Tokenizer.from_file(path).get_vocab_size(with_added_tokens=True) <= 1 << 16 else 4
 
 
-# --- crc32 of joined parts ------------------------------------------------------------------------------------
+# --- crc32 of joined parts
 
 
 def _times(matrix: list[int], vec: int) -> int:

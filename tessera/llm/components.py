@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import save
+from .common import drop, save
 
 
 def components(edges: DataFrame) -> DataFrame:
@@ -16,11 +16,16 @@ def components(edges: DataFrame) -> DataFrame:
     both = edges.select("a", "b").union(edges.select(F.col("b").alias("a"), F.col("a").alias("b")))
     both = save(both.where("a <> b").distinct(), "edges")
     labels = save(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("comp")), "labels")
+    table = labels
     while True:
         near = both.join(labels.select(F.col("node").alias("b"), "comp"), "b").groupBy(F.col("a").alias("node")).agg(F.min("comp").alias("m"))
         step = labels.join(near, "node").select("node", F.col("comp").alias("old"), F.least("comp", "m").alias("mid"))
         jump = labels.select(F.col("node").alias("mid"), F.col("comp").alias("far"))
         new = save(step.join(jump, "mid", "left").select("node", "old", F.least("mid", F.coalesce("far", "mid")).alias("comp")), "labels")
-        if not new.where("old <> comp").limit(1).count():
-            return new.select("node", "comp")
-        labels = new.select("node", "comp")
+        done = not new.where("old <> comp").limit(1).count()
+        drop(table)
+        table, labels = new, new.select("node", "comp")
+        if done:
+            drop(both)
+            labels.saved_at = table.saved_at
+            return labels

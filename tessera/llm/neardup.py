@@ -11,7 +11,8 @@ such rounds with different hubs leave few keys whose members lie in several comp
 across components are compared. So no link between components is missed, and links inside one need no proof.
 Every link used is confirmed on full shingle sets (64-bit hashes of all shingles).
 
-Copies with equal sets are one class from the start.
+Copies with equal sets are one class from the start. To confirm pairs, sets travel to pairs of blocks of neighbours
+(256 at most in a block) that have pairs to confirm, and not once for each pair.
 
 Defined cases. Null text has no shingles, nor has text without words: such rows link with nothing and are components
 of their own. Rows are documents even if they repeat a doc_id. Null doc_ids take part; the component's id is the
@@ -28,10 +29,11 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, save, small_batches
+from .common import documents, drop, parallelism, save, small_batches
 from .components import components
 
 _MIX = 0x9E3779B97F4A7C15
+BLOCK_NODES = 256
 _words: dict[bytes, int] = {}
 
 
@@ -119,45 +121,58 @@ def _keys(batches: Iterator, plan: list[tuple[int, ...]], positions: int) -> Ite
         yield pa.record_batch([pa.array(np.concatenate(out)), pa.array(np.tile(node, len(plan)))], ["key", "node"])
 
 
-def _near(batches: Iterator, bound: int, positions: int) -> Iterator:
-    """Pairs (a, b, sig_a, sig_b) within the distance bound."""
-    import numpy as np
-
-    for b in batches:
-        x, y = (np.frombuffer(b"".join(b.column(k).to_pylist()), "<u2").reshape(-1, positions) for k in (2, 3))
-        import pyarrow as pa
-
-        yield pa.RecordBatch.from_arrays(b.columns[:2], ["a", "b"]).filter(pa.array((x != y).sum(axis=1) <= bound))
-
-
 def _sets(batches: Iterator, k: int) -> Iterator:
-    """Of (node, set_key, text): the nodes whose text has that very set, with it."""
+    """Of (node, set_key, text, sig): the nodes whose text has that very set, with it."""
     import pyarrow as pa
     import xxhash
 
     for b in batches:
-        node, out = [], []
-        for i, key, t in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), strict=True):
+        node, sig, out = [], [], []
+        for i, key, t, s in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3).to_pylist(), strict=True):
             raw = shingle_set((t.as_py() or "").encode(), k).tobytes()
             if xxhash.xxh3_128_digest(raw) == key:
                 node.append(i)
+                sig.append(s)
                 out.append(raw)
-        yield pa.record_batch([pa.array(node, pa.int64()), pa.array(out, pa.binary())], ["node", "hashes"])
+        yield pa.record_batch([pa.array(node, pa.int64()), pa.array(sig, pa.binary()), pa.array(out, pa.binary())], ["node", "sig", "hashes"])
 
 
-def _confirm(batches: Iterator, num: int, den: int) -> Iterator:
+def _confirm(batches: Iterator, num: int, den: int, bound: int) -> Iterator:
+    """Rows come by group, a group's sets before its pairs: (grp, a, b, sig, hashes), b null for a set. Gives
+    (a, b, ok) for all pairs; those beyond the signature distance, or of too different sizes, are not ok."""
     import numpy as np
     import pyarrow as pa
 
-    for b in batches:
-        ok = []
-        for x, y in zip(b.column(2), b.column(3), strict=True):
-            x, y = np.frombuffer(x.as_buffer(), "u8"), np.frombuffer(y.as_buffer(), "u8")
-            both = np.concatenate([x, y])
-            both.sort(kind="stable")  # two sorted runs
-            inter = int((both[1:] == both[:-1]).sum())
-            ok.append(den * inter >= num * (len(both) - inter))
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(ok, pa.bool_())], ["a", "b", "ok"])
+    grp, place, sigs, sets = None, {}, [], []
+    for batch in batches:
+        g, a = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        is_set = batch.column(2).is_null().to_numpy(zero_copy_only=False)
+        b = batch.column(2).fill_null(0).to_numpy()
+        out = np.zeros(len(g), bool)
+        cuts = np.flatnonzero((g[1:] != g[:-1]) | (is_set[1:] != is_set[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), len(g)], strict=True):
+            if g[lo] != grp:
+                grp, place, sigs, sets = g[lo], {}, [], []
+            if is_set[lo]:
+                for k in range(lo, hi):
+                    place[int(a[k])] = len(sets)
+                    sigs.append(np.frombuffer(batch.column(3)[k].as_buffer(), "<u2"))
+                    sets.append(np.frombuffer(batch.column(4)[k].as_py(), "u8"))
+                continue
+            x = [place[v] for v in a[lo:hi].tolist()]
+            y = [place[v] for v in b[lo:hi].tolist()]
+            table = np.stack(sigs)
+            near = (table[x] != table[y]).sum(axis=1) <= bound
+            for k in np.flatnonzero(near).tolist():
+                p, q = sets[x[k]], sets[y[k]]
+                if den * min(len(p), len(q)) < num * max(len(p), len(q)):
+                    continue
+                both = np.concatenate([p, q])
+                both.sort(kind="stable")  # two sorted runs
+                inter = int((both[1:] == both[:-1]).sum())
+                out[lo + k] = den * inter >= num * (len(both) - inter)
+        pairs = pa.array(~is_set)
+        yield pa.record_batch([batch.column(1), batch.column(2), pa.array(out)], ["a", "b", "ok"]).filter(pairs)
 
 
 def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, positions: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -175,28 +190,41 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
     live = save(keys.join(met, "key"), "live")  # members of keys that more than one class has
 
-    needed = live.select("node").distinct().join(classes.select("node", "rep", "set_key"), "node")
-    texts = src.join(needed, src.doc_id.eqNullSafe(needed.rep)).select("node", "set_key", "text")
-    sets = save(texts.mapInArrow(lambda it: _sets(it, shingle), "node long, hashes binary").dropDuplicates(["node"]), "sets", "uncompressed")
+    needed = live.select("node").distinct().join(classes.select("node", "rep", "set_key", "sig"), "node")
+    texts = src.join(needed, src.doc_id.eqNullSafe(needed.rep)).select("node", "set_key", "text", "sig")
+    sets = save(texts.mapInArrow(lambda it: _sets(it, shingle), "node long, sig binary, hashes binary").dropDuplicates(["node"]), "sets")
+
+    # neighbours in blocks: a node's home is the first of the hubs that it meets, and a home has blocks of bounded size
+    hubs = live.groupBy("key").agg(F.min(F.struct(F.xxhash64("node").alias("h"), "node")).alias("hub"))
+    homes = live.join(hubs, "key").groupBy("node").agg(F.min("hub").alias("home"))
+    full = homes.groupBy("home").agg(F.ceil(F.count(F.lit(1)) / BLOCK_NODES).alias("blocks"))
+    blocks = save(homes.join(full, "home").select("node", F.xxhash64("home.node", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks"))).alias("block")), "blocks")
 
     def test(pairs: DataFrame, name: str) -> DataFrame:
-        """(a, b, ok) for the pairs that are near by signature and size."""
-        x, y = (classes.select(F.col("node").alias(c), F.col("sig").alias(f"sig_{c}"), F.col("n").alias(f"n_{c}")) for c in "ab")
-        sized = pairs.join(x, "a").join(y, "b").where(F.least("n_a", "n_b") * den >= F.greatest("n_a", "n_b") * num)
-        near = sized.select("a", "b", "sig_a", "sig_b").mapInArrow(lambda it: _near(it, bound, positions), "a long, b long")
-        full = near.join(sets.select(F.col("node").alias("a"), F.col("hashes").alias("x")), "a").join(sets.select(F.col("node").alias("b"), F.col("hashes").alias("y")), "b")
-        return save(full.select("a", "b", "x", "y").mapInArrow(lambda it: _confirm(it, num, den), "a long, b long, ok boolean"), name)
+        """(a, b, ok) for pairs. Sets go to each pair of blocks that has pairs of theirs, once, and not to each pair."""
+        x, y = (blocks.select(F.col("node").alias(c), F.col("block").alias(f"block_{c}")) for c in "ab")
+        dealt = pairs.join(x, "a").join(y, "b").select(F.xxhash64("block_a", "block_b").alias("grp"), "a", "b")
+        dealt = save(dealt, f"pairs{name}")
+        ends = dealt.select("grp", F.col("a").alias("node")).union(dealt.select("grp", F.col("b").alias("node"))).distinct()
+        bodies = ends.join(sets, "node").select("grp", F.col("node").alias("a"), F.lit(None).cast("long").alias("b"), "sig", "hashes")
+        rows = bodies.union(dealt.select("grp", "a", "b", F.lit(None).cast("binary"), F.lit(None).cast("binary")))
+        rows = rows.repartition(parallelism(spark), "grp").sortWithinPartitions("grp", F.col("b").asc_nulls_first())
+        out = save(rows.mapInArrow(lambda it: _confirm(it, num, den, bound), "a long, b long, ok boolean"), name)
+        drop(dealt)
+        return out
 
     # tested pairs so far, and the components of those confirmed
     tested: DataFrame | None = None
     comps: DataFrame | None = None
+    tables = [live, sets, blocks]
     for turn in range(3):
         rows = live.withColumn("comp", F.col("node")) if comps is None else live.join(comps, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
         if comps is not None:
             open_keys = rows.groupBy("key").agg(F.min("comp").alias("lo"), F.max("comp").alias("hi")).where("lo <> hi").select("key")
             rows = rows.join(open_keys, "key")
-            rows = live = save(rows.select("key", "node", "comp"), "open")
-            live = live.select("key", "node")
+            rows = save(rows.select("key", "node", "comp"), "open")
+            live = rows.select("key", "node")
+            tables.append(rows)
         if turn < 2:
             hub = rows.groupBy("key").agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node").alias("h"), "node", "comp")).alias("hub"))
             pairs = rows.join(hub, "key").where("comp <> hub.comp").select(F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b"))
@@ -207,9 +235,14 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
         if tested is not None:
             pairs = pairs.join(tested, ["a", "b"], "left_anti")
         now = test(pairs, f"links{turn}")
+        tables.append(now)
         tested = now if tested is None else tested.union(now)
+        if comps is not None:
+            tables.append(comps)
         comps = components(tested.where("ok"))
+    drop(*tables)
 
+    assert comps is not None
     named = classes.join(comps, "node", "left").select("set_key", "rep", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
     of_class = named.join(smallest, "comp").select("set_key", "component_id")
@@ -233,3 +266,20 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) ->
     if out.groupBy("doc_id").count().where("count > 1").limit(1).count():  # else no row can repeat a doc_id
         left = left.dropDuplicates([key])
     return left.unionByName(docs.where(F.col(key).isNull()))
+
+
+OP7_SQL = r"""
+WITH RECURSIVE w AS (
+  SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM documents),
+s AS (
+  SELECT doc_id, list_distinct(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, ' ')]
+    ELSE list_transform(range(1, len(w) - 1), lambda i: w[i] || ' ' || w[i + 1] || ' ' || w[i + 2]) END) AS s FROM w),
+x AS (SELECT doc_id, len(s) AS c, unnest(s) AS x FROM s),
+p AS (
+  SELECT a.doc_id AS i, b.doc_id AS j FROM x AS a JOIN x AS b ON a.x = b.x AND a.doc_id < b.doc_id
+  GROUP BY a.doc_id, b.doc_id, a.c, b.c HAVING 100 * count(*) >= 85 * (a.c + b.c - count(*))),
+e AS (SELECT i, j FROM p UNION ALL SELECT j, i FROM p),
+r(i, j) AS (SELECT doc_id, doc_id FROM documents UNION SELECT r.i, e.j FROM r JOIN e ON r.j = e.i),
+m AS (SELECT i, min(j) AS component_id FROM r GROUP BY i)
+SELECT s.doc_id, len(s.s)::BIGINT AS n_shingles, m.component_id, s.doc_id = m.component_id AS kept FROM s JOIN m ON s.doc_id = m.i
+"""
