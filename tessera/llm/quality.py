@@ -34,9 +34,13 @@ _PAIR = zlib.crc32(b"\x00pair") % BUCKETS
 
 def word_buckets(word: bytes) -> list[int]:
     """Buckets of a word and its n-grams, over the characters' UTF-8."""
-    text = f"<{word.decode('utf-8', 'replace')}>"
-    grams = [word] + [text[i : i + n].encode("utf-8", "surrogatepass") + b"#" for n in (3, 4, 5) for i in range(len(text) - n + 1)]
-    return [zlib.crc32(g) % BUCKETS for g in grams]
+    crc, mask, text = zlib.crc32, BUCKETS - 1, b"<" + word + b">"
+    if word.isascii():
+        grams = [text[i : i + n] for n in (3, 4, 5) for i in range(len(text) - n + 1)]
+    else:
+        chars = text.decode("utf-8", "replace")
+        grams = [chars[i : i + n].encode() for n in (3, 4, 5) for i in range(len(chars) - n + 1)]
+    return [crc(word) & mask, *[crc(g, 1) & mask for g in grams]]
 
 
 def document_buckets(text: str | None):
@@ -123,6 +127,7 @@ def _score(batches: Iterator, model) -> Iterator:
 
     raw = model.value
     odds = np.frombuffer(raw, "f4").astype("f8")
+    of = odds.tolist().__getitem__  # quicker than numpy for the few buckets of a word
     tag = raw[:64] + zlib.crc32(raw).to_bytes(4, "little")
     if tag not in _kept:
         _kept.clear()
@@ -148,7 +153,7 @@ def _score(batches: Iterator, model) -> Iterator:
                 for w in fresh:
                     f = word_buckets(w)
                     i = seen[w] = len(seen)
-                    total[i], size[i] = odds[f].sum(), len(f)
+                    total[i], size[i] = sum(map(of, f)), len(f)
                 i = np.fromiter(map(seen.__getitem__, words), "i8", len(words))
                 same = int((i[1:] == i[:-1]).sum())
                 z = (total[i].sum() + same * pair) / (size[i].sum() + same)
