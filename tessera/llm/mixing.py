@@ -80,20 +80,22 @@ def plan_mix(
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     mark = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
     skey = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
-    base = docs.select(
-        F.col(key).alias("doc_id"), F.col(source).alias("source"), skey.alias("skey"), words.alias("size"), mark.alias("mark"), F.xxhash64(F.col(text)).alias("tie"),
-        *(F.col(c).alias(f"_kept_{c}") for c in keep),
-    )
-    base = save(base, "sizes")
+    cols = [F.col(key).alias("doc_id"), F.col(source).alias("source"), skey.alias("skey"), words.alias("size"), mark.alias("mark"), F.xxhash64(F.col(text)).alias("tie")]
+    base = save(docs.select(*cols), "sizes")
     sizes = base.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     plan = save(targets(sizes, [integral(s) for s in schedules], total_share, max_repeats), "targets").drop("source")
     # a broadcast only where the plan is known to be small; else a join, whose skewed partitions Spark splits
-    joined = base.join(F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan, "skey")
-    buckets = F.ceil(F.col("n_docs") / BUCKET_ROWS)
-    rows = joined.withColumn("bucket", F.floor(F.col("mark") / F.lit(float(1 << 60)) * buckets))
+    plan = F.broadcast(plan) if plan.count() <= BROADCAST_SOURCES else plan
+
+    def bucketed(rows: DataFrame) -> DataFrame:
+        buckets = F.ceil(F.col("n_docs") / BUCKET_ROWS)
+        return rows.join(plan, "skey").withColumn("bucket", F.floor(F.col("mark") / F.lit(float(1 << 60)) * buckets))
+
     ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = rows.groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
+    sums = bucketed(base).groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
     sums = sums.select("skey", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
+    # columns like texts are read once more, which is less than to write them above
+    rows = bucketed(docs.select(*cols, *(F.col(c).alias(f"_kept_{c}") for c in keep)) if keep else base)
     inside = Window.partitionBy("skey", "bucket").orderBy("mark", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
     return rows.join(sums, ["skey", "bucket"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
