@@ -191,7 +191,7 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     live = save(keys.join(met, "key"), "live")  # members of keys that more than one class has
 
     needed = live.select("node").distinct().join(classes.select("node", "rep", "set_key", "sig"), "node")
-    texts = src.join(needed, src.doc_id.eqNullSafe(needed.rep)).select("node", "set_key", "text", "sig")
+    texts = src.join(needed.hint("merge"), src.doc_id.eqNullSafe(needed.rep)).select("node", "set_key", "text", "sig")
     sets = save(texts.mapInArrow(lambda it: _sets(it, shingle), "node long, sig binary, hashes binary").dropDuplicates(["node"]), "sets")
 
     # neighbours in blocks: a node's home is the first of the hubs that it meets, and a home has blocks of bounded size
