@@ -2,7 +2,7 @@
 
 The index is made of license templates. Words that few templates have say most about which license a text is (their
 inverse document frequency among templates is highest); each template is indexed by its rarest words and their
-positions. A text is looked up by its own highest-IDF license words. Every posting votes for a place where the
+positions. A text is looked up by all its words that the index has. Every posting votes for a place where the
 template would begin: text position minus template position. A template is found where a mandatory key phrase of it
 stands exactly at its place and enough of its indexed words agree on that place, give or take a few words.
 
@@ -51,14 +51,13 @@ TEMPLATES = (
     ("proprietary", "all rights reserved no part of this publication may be reproduced distributed or transmitted in any form or by any means without the prior written permission of the publisher", ("no part of this publication may be reproduced",)),
 )
 INDEX_WORDS = 12
-LOOKUP_WORDS = 64
 TOLERANCE = 3
 LEAST_SHARE = 0.5
 
 
 @lru_cache(maxsize=1)
-def index() -> tuple[list[tuple[str, float]], dict[int, list[tuple[str, int]]]]:
-    """(license words by falling IDF, postings (word, position) of each template)."""
+def index() -> tuple[list[str], dict[int, list[tuple[str, int]]]]:
+    """(license words, postings (word, position) of each template). The templates bound both."""
     words = [t.split() for _, t, _ in TEMPLATES]
     df: dict[str, int] = {}
     for w in words:
@@ -71,7 +70,7 @@ def index() -> tuple[list[tuple[str, float]], dict[int, list[tuple[str, int]]]]:
         best = sorted(once, key=lambda x: (-idf[x], x))[:INDEX_WORDS]
         postings[k] = [(x, w.index(x)) for x in best]
         used |= set(best)
-    return sorted(((x, idf[x]) for x in used), key=lambda p: (-p[1], p[0])), postings
+    return sorted(used), postings
 
 
 def normalized(text: Column) -> Column:
@@ -120,8 +119,7 @@ def _agreeing(votes: Column, at: Column) -> Column:
 def _lookup(words: Column) -> Column:
     """Of an array of words: struct(label, score) for each template found."""
     vocab, postings = index()
-    rare = F.slice(F.array_intersect(F.array(*(F.lit(x) for x, _ in vocab)), words), 1, LOOKUP_WORDS)
-    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: F.array_contains(rare, p["w"]))
+    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(vocab))
 
     def score(k: int) -> Column:
         _, template, keys = TEMPLATES[k]

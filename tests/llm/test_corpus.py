@@ -167,6 +167,15 @@ def _base(text):
     return len(w), len(at), min((i for i, _ in at), default=None), max((i for i, _ in at), default=None), ",".join(sorted({x for _, x in at}))
 
 
+def test_texts_of_many_licenses(spark):
+    """No number of templates in one text hides one of them."""
+    some = [[k for k, (name, _, _) in enumerate(licenses.TEMPLATES) if name in ("mit", "apache-2", "bsd", "gpl-3", "cc-by")], list(range(8)), list(range(8, 16)), list(range(16))]
+    df = spark.createDataFrame([(d, " zzz yyy ".join(licenses.TEMPLATES[k][1] for k in ks)) for d, ks in enumerate([*some, some[-1][::-1]])], "doc_id long, text string")
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan_licenses(df).collect()}
+    for d, ks in enumerate([*some, some[-1]]):
+        assert got[d] >= {licenses.TEMPLATES[k][0] for k in ks}
+
+
 def test_licenses_empty(empty):
     assert licenses.scan_licenses(empty).count() == 0
 
