@@ -1,7 +1,8 @@
 """Approximate nearest neighbours: an inverted file of coarse centroids with product-quantised residuals.
 
-Equal vectors are one entry, which keeps the smallest ids of its members: as many as can stand in a result. So a
-vector copied a million times is searched for once and found once. Coarse centroids and codebooks are fitted on a
+Equal vectors are one entry with an id of its own; its rows of one vec_id are a class, with their number. An entry keeps
+the classes of its smallest vec_ids: as many as can stand in a result. So a vector copied a million times is searched
+for once and found once. Coarse centroids and codebooks are fitted on a
 bounded sample (`sample` entries); every entry is indexed. A query looks into the lists of its nearest centroids: an
 asymmetric distance table ranks a block of a list by code, and the best of the block are ranked again by exact
 distances, in double precision, to the original vectors. Lists and their queries are dealt in blocks of bounded rows.
@@ -10,7 +11,9 @@ Nearness is the Euclidean distance, ties go to the smaller vec_id.
 
 Defined cases. Vectors that are null, zero, hold null or non-finite components, or are of another length than most (of
 equally common lengths, the smaller), take no part, neither as queries nor as results; so do rows without a vec_id.
-Rows that repeat a vec_id are rows of their own. A query without other rows has no result rows, one with fewer than k
+Rows that repeat a vec_id are rows of their own: each can stand in a result, and with other vectors they are other
+queries, each ranked for itself. Rows alike in vec_id and vector ask once, and none of them is in their own result, so
+that copies of a query don't take the places of its neighbours. A query without other rows has no result rows, one with fewer than k
 has them all (lists that hold fewer than k + 1 entries are searched on until there are enough). An empty table gives
 no rows. Other columns are ignored, whatever their names.
 """
@@ -127,7 +130,7 @@ def _index(batches: Iterator, model) -> Iterator:
         if not len(x):
             continue
         near, codes = encode_vectors(x.astype("f4"), model.value)
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype("i4")), pa.array([c.tobytes() for c in codes], pa.binary())], ["entry", "vec", "list", "code"])
+        yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype("i4")), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(2)], ["entry", "vec", "list", "code", "lead"])
 
 
 def _probe(batches: Iterator, model, probes: list[int]) -> Iterator:
@@ -150,15 +153,16 @@ def _probe(batches: Iterator, model, probes: list[int]) -> Iterator:
 
 
 def _search(left, right, model, keep: int, rerank: int):
-    """One block of a list (left) and one block of its queries (right): the `keep` exact nearest entries for each."""
+    """One block of a list (left) and one block of its queries (right): the `keep` exact nearest entries for each, of equally
+    near ones those of the smaller `lead` (an entry's smallest vec_id)."""
     import numpy as np
     import pyarrow as pa
 
-    out: list = [[], [], []]
+    out: list = [[], [], [], []]
     if left.num_rows and right.num_rows:
         m = model.value
         x = _rows(left.column("vec").combine_chunks())
-        ids = left.column("entry").to_numpy()
+        ids, lead = left.column("entry").to_numpy(), left.column("lead").to_numpy()
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), "u1").reshape(len(ids), -1)
         centre, w = m["coarse"][left.column("list")[0].as_py()], m["width"]
         for q, v in zip(right.column("entry").to_pylist(), _rows(right.column("vec").combine_chunks()), strict=True):
@@ -167,16 +171,17 @@ def _search(left, right, model, keep: int, rerank: int):
             about = sum(t[codes[:, p]] for p, t in enumerate(tables))
             best = np.argpartition(about, rerank)[:rerank] if len(about) > rerank else np.arange(len(about))
             exact = np.sqrt(((x[best] - v) ** 2).sum(axis=1))
-            top = np.lexsort((ids[best], exact))[:keep]
+            top = np.lexsort((ids[best], lead[best], exact))[:keep]
             out[0] += [q] * len(top)
             out[1] += ids[best][top].tolist()
-            out[2] += exact[top].tolist()
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.float64())], names=["q", "entry", "score"])
+            out[2] += lead[best][top].tolist()
+            out[3] += exact[top].tolist()
+    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["q", "entry", "lead", "score"])
 
 
 def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMPLE, recall: float = 0.97, rerank: int = RERANK, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest rows found for each row where is_query holds (a condition on
-    vec_id), the row itself left out.
+    vec_id), the row itself and its copies left out.
 
     recall: queries look into as large a share of the lists as finds this part of the neighbours in the sample."""
     spark = vectors.sparkSession
@@ -186,20 +191,21 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMP
     dim, _ = (common.dim, common.n) if common else (0, 0)
     src = src.where(F.size("vec") == dim).withColumn("same", F.md5(F.array_join(F.transform("vec", lambda x: (x + 0.0).cast("string")), ",")))
     rows = save(src, "vectors")
-    # equal vectors: the smallest ids of each, all that k results and the query itself can need
+    # equal vectors: the classes of the smallest ids of each, all that k results beside the query's own class can need
+    classes = rows.groupBy("same", "vec_id").agg(F.first("vec").alias("vec"), F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("copies"))
     nth = F.row_number().over(Window.partitionBy("same").orderBy("vec_id"))
-    members = save(rows.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("same", "vec_id", "nth", "vec"), "members")
-    entries = members.where("nth = 1").select(F.col("vec_id").alias("entry"), "vec", "same")
+    members = save(classes.withColumn("nth", nth).where(F.col("nth") <= k + 1).select("same", "vec_id", "copies", "nth", "vec"), "members")
+    entries = save(members.where("nth = 1").select(F.monotonically_increasing_id().alias("entry"), F.col("vec_id").alias("lead"), "vec", "same"), "entries")
     n = entries.count()
-    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "same")
+    queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "same").distinct()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = entries.select("vec", F.xxhash64("entry").alias("h"), "entry").orderBy("h", "entry").limit(sample).select("vec").toArrow()
+    picked = entries.select("vec", F.xxhash64("lead").alias("h"), "lead", "same").orderBy("h", "lead", "same").limit(sample).select("vec").toArrow()
     drawn = _rows(picked.column(0).combine_chunks())
     fitted = fit_index(drawn, n)
     share = probe_share(drawn, fitted, k, recall)
     model = spark.sparkContext.broadcast(fitted)  # bounded by sample and MAX_LISTS
-    index = save(entries.select("entry", "vec").mapInArrow(lambda it: _index(it, model), "entry long, vec array<double>, list int, code binary"), "index")
+    index = save(entries.select("entry", "vec", "lead").mapInArrow(lambda it: _index(it, model), "entry long, vec array<double>, list int, code binary, lead long"), "index")
     sizes = {r.list: r.n for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a list
     lists = len(model.value["coarse"])
     probes = [min(lists, max(8, math.ceil(share * lists))), k + 1, *(sizes.get(j, 0) for j in range(lists))]
@@ -212,17 +218,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMP
     left = index.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     right = asked.join(plan, "list").withColumn("group", F.pmod(F.xxhash64("entry"), F.col("groups")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     by = ("list", "block", "group")
-    found = left.select(*by, "entry", "vec", "code").groupBy(*by).cogroup(right.select(*by, "entry", "vec").groupBy(*by)).applyInArrow(
-        lambda a, b: _search(a, b, model, k + 1, rerank), "q long, entry long, score double"
+    found = left.select(*by, "entry", "lead", "vec", "code").groupBy(*by).cogroup(right.select(*by, "entry", "vec").groupBy(*by)).applyInArrow(
+        lambda a, b: _search(a, b, model, k + 1, rerank), "q long, entry long, lead long, score double"
     )
-    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "entry"))).where(F.col("r") <= k + 1)
-    of_entry = members.select("same", "vec_id").join(entries.select("same", "entry"), "same").select("entry", "vec_id")
-    near = best.join(of_entry, "entry").select("q", "vec_id", "score")
-    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id"))).where(F.col("r") <= k + 1)
+    best = found.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "lead", "entry"))).where(F.col("r") <= k + 1)
+    of_entry = members.select("same", "vec_id", "copies").join(entries.select("same", "entry"), "same").select("entry", "vec_id", "copies")
+    near = best.join(of_entry, "entry").select("q", "entry", "vec_id", "copies", "score")
+    # k + 1 classes: a query leaves out one of them, its own, and each other has a row at least
+    near = near.withColumn("r", F.row_number().over(Window.partitionBy("q").orderBy("score", "vec_id", "entry"))).where(F.col("r") <= k + 1)
     who = queries.join(entries.select("same", F.col("entry").alias("q")), "same").select("query_id", "q")
-    out = who.join(near, "q").where("query_id <> vec_id")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
-    return out.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    out = who.join(near, "q").where("entry <> q OR vec_id <> query_id")
+    before = F.sum("copies").over(Window.partitionBy("query_id", "q").orderBy("r").rowsBetween(Window.unboundedPreceding, -1))
+    out = out.withColumn("before", F.coalesce(before, F.lit(0)).cast("int")).where(F.col("before") < k)
+    ranks = F.sequence(F.col("before") + 1, F.least(F.col("before") + F.col("copies"), F.lit(k)))
+    return out.select("query_id", F.explode(ranks).alias("rank"), "vec_id", "score")
 
 
 def op3_ivf_pq(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -126,6 +126,22 @@ def test_copies_and_odd_vectors(spark):
         assert [(i, round(s, 9)) for _, i, s in got[q]] == [(i, round(s, 9)) for i, s in want]
 
 
+def test_repeated_rows(spark):
+    """Rows that repeat a vec_id, with the same vector or another, against brute force over rows."""
+    x = vectors(120, 8)
+    rows = [(i, tuple(v.tolist())) for i, v in enumerate(x)]
+    rows += [rows[10]] + [rows[20]] * 12 + [rows[33]] * 2 + [rows[44]] * 14  # queries twice and 13 times; others 3 and 15 times
+    rows += [(i, rows[20][1]) for i in range(201, 204)]  # other ids of a copied query's vector
+    rows += [(30, rows[77][1]), (41, rows[50][1]), (41, rows[60][1])]  # an id with two vectors
+    df = spark.createDataFrame([(i, list(v)) for i, v in rows], "vec_id long, embedding array<float>")
+    want = Counter()
+    for q in {r for r in rows if r[0] % 10 == 0}:
+        near = sorted((round(float(np.sqrt(((np.array(v) - np.array(q[1])) ** 2).sum())), 9), i) for i, v in rows if (i, v) != q)
+        want.update((q[0], n, i, d) for n, (d, i) in enumerate(near[:10], 1))
+    got = ann.search(df, F.col("vec_id") % 10 == 0, recall=1.0, rerank=1000).collect()
+    assert Counter((r.query_id, r["rank"], r.vec_id, round(r.score, 9)) for r in got) == want
+
+
 def test_few_vectors(spark):
     got = search(spark, [(0, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [2.0, 0.0])])
     assert got == {0: [(1, 2, 1.0), (2, 1, 2**0.5)]}
