@@ -23,8 +23,8 @@ def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each near-duplicate group (operator 7; five words, similarity 0.8): that of the smallest doc_id.
-    Of rows that are alike in doc_id and group, one stays."""
+    """One row of each near-duplicate group (operator 7; five words, similarity 0.8), of the smallest doc_id in it. Rows
+    are told apart by doc_id and text; those without words all stay."""
     return neardup.keep(docs.select(*COLUMNS))
 
 

@@ -26,7 +26,7 @@ import itertools
 import math
 from collections.abc import Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import documents, drop, parallelism, save, small_batches
@@ -101,7 +101,7 @@ def _sign(batches: Iterator, k: int, positions: int) -> Iterator:
             n.append(len(s))
             key.append(xxhash.xxh3_128_digest(s.tobytes()))
             sig.append(signature(s, factors).tobytes() if len(s) else None)
-        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary())], ["doc_id", "n_shingles", "set_key", "sig"])
+        yield pa.record_batch([b.column(0), pa.array(n, pa.int64()), pa.array(key, pa.binary()), pa.array(sig, pa.binary()), b.column(2)], ["doc_id", "n_shingles", "set_key", "sig", "digest"])
 
 
 def _keys(batches: Iterator, plan: list[tuple[int, ...]], positions: int) -> Iterator:
@@ -175,16 +175,30 @@ def _confirm(batches: Iterator, num: int, den: int, bound: int) -> Iterator:
         yield pa.record_batch([batch.column(1), batch.column(2), pa.array(out)], ["a", "b", "ok"]).filter(pairs)
 
 
-def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, positions: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+def _digest(text: Column) -> Column:
+    return F.unhex(F.md5(text.cast("string")))
+
+
+def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     """doc_id, n_shingles, component_id and kept, for each row. Rows whose sets of shingles have
-    den * intersection >= num * union are linked."""
+    den * intersection >= num * union are linked. Options are those of grouped()."""
+    out = grouped(docs, **options)
+    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
+    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+
+
+def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, positions: int = 64, key: str = "doc_id", text: str = "text") -> DataFrame:
+    """doc_id, digest of the text, n_shingles, component_id and first, for each row. first is the row that stands for
+    the component, by (no doc_id, doc_id, digest); component_id and first are null for rows without shingles."""
     spark = docs.sparkSession
     small_batches(spark)
     bound = distance_bound(num, den, positions)
     plan = chunk_plan(positions, bound)
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    signed = save(src.mapInArrow(lambda it: _sign(it, shingle, positions), "doc_id long, n_shingles long, set_key binary, sig binary"), "signatures")
-    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
+    with_digest = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"), _digest(F.col(text)).alias("digest"))
+    signed = save(with_digest.mapInArrow(lambda it: _sign(it, shingle, positions), "doc_id long, n_shingles long, set_key binary, sig binary, digest binary"), "signatures")
+    row = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "digest")
+    classes = signed.where("n_shingles > 0").groupBy("set_key").agg(F.min("doc_id").alias("rep"), F.min(row).alias("first"), F.first("sig").alias("sig"), F.first("n_shingles").alias("n"))
     classes = save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = classes.select("node", "sig").mapInArrow(lambda it: _keys(it, plan, positions), "key long, node long")
     met = keys.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("key")
@@ -243,12 +257,10 @@ def near_duplicates(docs: DataFrame, shingle: int = 5, num: int = 80, den: int =
     drop(*tables)
 
     assert comps is not None
-    named = classes.join(comps, "node", "left").select("set_key", "rep", F.coalesce("comp", "node").alias("comp"))
-    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"))
-    of_class = named.join(smallest, "comp").select("set_key", "component_id")
-    out = signed.select("doc_id", "n_shingles", "set_key").join(of_class, "set_key", "left")
-    component = F.when(F.col("n_shingles") > 0, F.col("component_id")).otherwise(F.col("doc_id"))
-    return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
+    named = classes.join(comps, "node", "left").select("set_key", "rep", "first", F.coalesce("comp", "node").alias("comp"))
+    smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))
+    of_class = named.select("set_key", "comp").join(smallest, "comp").select("set_key", "component_id", "first")
+    return signed.select("doc_id", "digest", "n_shingles", "set_key").join(of_class, "set_key", "left").select("doc_id", "digest", "n_shingles", "component_id", "first")
 
 
 def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -257,15 +269,19 @@ def op7_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
-    """docs without the rows that a group of near-duplicates can spare: the document of the group's smallest doc_id
-    stays. Rows that share a doc_id go or stay together, and one of them stays. Rows without a doc_id all stay."""
-    out = save(near_duplicates(docs, key=key, text=text, **options).where("doc_id IS NOT NULL").select("doc_id", "kept"), "kept")
-    gone = out.where(~F.col("kept")).select(F.col("doc_id").alias("_gone")).distinct()
-    own = docs.where(F.col(key).isNotNull())
-    left = own.join(gone, own[key].cast("long") == gone["_gone"], "left_anti")
-    if out.groupBy("doc_id").count().where("count > 1").limit(1).count():  # else no row can repeat a doc_id
-        left = left.dropDuplicates([key])
-    return left.unionByName(docs.where(F.col(key).isNull()))
+    """docs without the rows that a group of near-duplicates can spare: one row of each group stays, of those with the
+    smallest doc_id (rows without one come last) that with the smallest digest of its text. Rows of one doc_id and other
+    texts are rows of their own. Rows without words are in no group and stay."""
+    out = grouped(docs, key=key, text=text, **options).where("n_shingles > 0")
+    spared = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
+    out = save(out.select("doc_id", "digest", spared.alias("spared")), "kept")
+    gone = out.where("spared").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
+    left = docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]) & (_digest(docs[text]) == gone["_digest"]), "left_anti")
+    if out.where("NOT spared").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():  # else no row repeats another
+        words = F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
+        own = left.where(words).withColumns({"_gone": F.col(key).cast("long"), "_digest": _digest(F.col(text))})
+        left = own.dropDuplicates(["_gone", "_digest"]).drop("_gone", "_digest").unionByName(left.where(~words))
+    return left
 
 
 OP7_SQL = r"""

@@ -136,6 +136,17 @@ def test_keep_one_of_each_group(spark, corpus):
     assert set(ids) == want and sum(r.doc_id is None for r in left) == 2
 
 
+def test_keep_goes_by_rows(spark):
+    """Rows that share a doc_id, or have none, go or stay by their own texts."""
+    texts = {c: " ".join(f"{c}{i}" for i in range(60)) for c in "abcdefg"}
+    rows = [(1, texts["a"]), (2, texts["a"] + " near"), (2, texts["b"]), (2, texts["c"]), (3, texts["c"] + " near"), (2, texts["d"]), (2, texts["d"])]
+    rows += [(None, texts["e"]), (None, texts["e"] + " near"), (None, texts["f"]), (9, texts["f"]), (5, None), (5, None), (4, texts["g"]), (4, texts["g"] + " near")]
+    left = Counter(map(tuple, neardup.keep(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).collect()))
+    want = Counter([(1, texts["a"]), (2, texts["b"]), (2, texts["c"]), (2, texts["d"]), (9, texts["f"]), (5, None), (5, None)])
+    assert all(left.pop(r) == n for r, n in want.items())
+    assert sorted((str(d), t[:1], n) for (d, t), n in left.items()) == [("4", "g", 1), ("None", "e", 1)]  # either of two near copies
+
+
 def test_near_duplicates_empty(empty):
     assert neardup.near_duplicates(empty).count() == 0 and neardup.keep(empty).count() == 0
 
