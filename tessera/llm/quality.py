@@ -4,8 +4,8 @@ with a softmax over the two classes, trained by stochastic gradient descent in n
 Features of a word: the word, and its character n-grams of 3 to 5 with ends marked, hashed into a fixed number of
 buckets. A word equal to the one before it adds the pair of equal words, a bigram that all such words share.
 
-Training sees a bounded sample: `sample` labelled rows of each class at most (2000 unless told otherwise), the first by
-a hash of doc_id, and never rows whose crc32 of doc_id leaves 1 on division by 3. It runs in one task over that sample.
+Training sees a bounded sample: `sample` doc_ids of each class at most (2000 unless told otherwise), the first by a hash
+of doc_id, each with one text (of several, that of the smallest hash), and never rows whose crc32 of doc_id leaves 1 on division by 3. It runs in one task over that sample.
 The model is linear in the averaged features, so vectors and softmax weights come down to one number a bucket, which
 is what tasks get, and a document's log odds are a mean over its words of numbers kept by word.
 
@@ -110,10 +110,13 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "
     all tasks."""
     small_batches(docs.sparkSession)
     own = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
+    own = own.distinct()
     chosen = [own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
     src = docs.select(F.col(key).cast("long").alias("id"), F.col(text).cast("string").alias("text"))
-    rows = src.join(F.broadcast(chosen[0].union(chosen[1])), "id").limit(4 * sample)
-    rows = rows.orderBy("id", "y", F.xxhash64("text")).select("text", "y").coalesce(1)
+    rows = src.join(F.broadcast(chosen[0].union(chosen[1])), "id").withColumn("h", F.xxhash64("text"))
+    # one text for each chosen id and label: 2 * sample rows at most
+    rows = rows.groupBy("id", "y").agg(F.min(F.struct("h", "text")).alias("least"))
+    rows = rows.orderBy("id", "y").select("least.text", "y").coalesce(1)
     got = rows.mapInArrow(_train, "model binary").first()
     return bytes(got.model) if got else b"\0" * (4 * BUCKETS)
 

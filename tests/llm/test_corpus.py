@@ -245,6 +245,17 @@ def test_classifier(spark):
     assert {r.score for r in quality.score(docs, none).collect()} == {0.5}
 
 
+def test_classifier_with_a_hot_document(spark):
+    """Rows and labels that repeat a doc_id don't crowd others out of training."""
+    ids = [k for k in range(60) if zlib.crc32(str(k).encode()) % 3 != 1][:16]
+    one = [(k, "river stone walks" if n % 2 else "LOUD!! LOUDER!!") for n, k in enumerate(ids)]
+    docs = spark.createDataFrame([one[0]] * 2000 + one, "doc_id long, text string")
+    marks = spark.createDataFrame([(ids[0], 0)] * 50 + [(k, n % 2) for n, k in enumerate(ids)], "doc_id long, quality int")
+    model = quality.fit(docs, marks, sample=10)
+    assert model == quality.fit(spark.createDataFrame(one, docs.schema), marks.distinct(), sample=10)
+    assert any(model)
+
+
 def test_classifier_empty(spark, empty):
     marks = spark.createDataFrame([], "doc_id long, quality int")
     assert quality.score(empty, quality.fit(empty, marks)).count() == 0
