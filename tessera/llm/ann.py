@@ -26,7 +26,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, save, small_batches
+from .common import documents, prepare, save
 
 SAMPLE = 20_000
 MAX_LISTS = 4096
@@ -185,7 +185,7 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMP
 
     recall: queries look into as large a share of the lists as finds this part of the neighbours in the sample."""
     spark = vectors.sparkSession
-    small_batches(spark, 5000)
+    prepare(spark)
     src = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
     common = src.groupBy(F.size("vec").alias("dim")).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "dim").first()
     dim, _ = (common.dim, common.n) if common else (0, 0)

@@ -28,7 +28,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import crc32_join, new_path, parallelism, small_batches, span_tokenizer, vocabulary_width
+from .common import crc32_join, new_path, parallelism, prepare, span_tokenizer, vocabulary_width
 
 BLOCK_IDS = 1 << 16
 SHARD_DOCS = 50_000
@@ -145,7 +145,7 @@ def write_tokens(
     Shards hold about shard_docs documents (fewer where the session has more shuffle partitions than that makes). Ids
     cross the network once, two bytes each where the vocabulary allows it."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     if end_id is None:
         raise ValueError("an end id is needed: it keeps every document in the stream")
     width = max(vocabulary_width(tokenizer), 2 if end_id < 1 << 16 else 4)
@@ -200,7 +200,7 @@ def read_tokens(spark: SparkSession, path: str, with_ids: bool = True) -> DataFr
     start is the shard's start (a running sum over one row a shard) plus the place in the shard."""
     from pyspark.sql.types import StructType
 
-    small_batches(spark, 64)
+    prepare(spark)
     blocks = spark.read.schema(StructType.fromDDL(CHUNK_DDL)).parquet(path)
     base = blocks.groupBy("shard").agg(F.sum("n_ids").alias("total"))
     base = base.select("shard", (F.sum("total").over(Window.orderBy("shard")) - F.col("total")).alias("base"))

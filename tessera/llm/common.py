@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 #: ASCII white space as the corpus contracts define it.
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
-#: Rows in an Arrow batch: documents can be long, so batches are small.
-ARROW_ROWS = 1000
+#: Rows and bytes in an Arrow batch, at most: documents can be long.
+ARROW_ROWS = 4096
+ARROW_BYTES = 8 << 20
 
 _local_root: dict[str, str] = {}
 _shipped: set[str] = set()
@@ -74,10 +75,12 @@ def ship(spark: SparkSession) -> None:
     _shipped.add(app)
 
 
-def small_batches(spark: SparkSession, rows: int = ARROW_ROWS) -> None:
-    """Bounds Arrow batches, which count rows and not bytes."""
+def prepare(spark: SparkSession) -> None:
+    """What all operators with Python workers need: the code there, and Arrow batches bounded in rows and in bytes. The
+    bounds are the same for all, so that plans can be built in any order."""
     ship(spark)
-    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(rows))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(ARROW_BYTES))
 
 
 def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> DataFrame:

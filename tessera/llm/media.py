@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents, new_path, small_batches
+from .common import documents, new_path, prepare
 
 LEAST, MOST, MASK_BITS = 256, 8192, 10
 BLOOM_BITS = 1 << 26
@@ -159,7 +159,7 @@ def _packs(batches: Iterator, filter_) -> Iterator:
 def write_media(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> None:
     """Stores the payloads of all rows under path: media/kind=0 and chunks."""
     spark = docs.sparkSession
-    small_batches(spark, 500)
+    prepare(spark)
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     digests = src.select("text").mapInArrow(_digests, "digest binary, n long")
     shared = digests.groupBy("digest").agg(F.sum("n").alias("n")).where("n > 1")
@@ -206,7 +206,7 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
 
     Media without shared chunks are read where they lie. For the others digests go to the chunks, and come back with
     them to the medium; a list holds one medium's chunks."""
-    small_batches(spark, 500)
+    prepare(spark)
     media = spark.read.schema(StructType.fromDDL(MEDIA_DDL)).parquet(f"{path}/media/kind=0")
     chunks = spark.read.schema(StructType.fromDDL(CHUNK_DDL)).parquet(f"{path}/chunks")
     some = F.replace(F.hex("shared"), F.lit("00"), F.lit("")) != ""

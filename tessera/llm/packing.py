@@ -21,7 +21,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .common import documents, save, small_batches, span_tokenizer
+from .common import documents, save, prepare, span_tokenizer
 
 PIECES_DDL = "doc_id long, piece int, start long, length int, lot int, rank_in_lot int, ids binary"
 
@@ -139,7 +139,7 @@ def pack(docs: DataFrame, tokenizer: str, end_id: int, capacity: int = 2048, spa
 
     Texts are encoded once, where they are read; no text and no ids are shuffled."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     pieces = save(src.mapInArrow(lambda it: _pieces(it, tokenizer, spans, end_id, capacity), PIECES_DDL), "pieces")
     lots = pieces.groupBy("lot", "length").agg(F.count(F.lit(1)).alias("n"))

@@ -22,7 +22,7 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, prepare
 
 BUCKETS = 1 << 18
 DIM = 16
@@ -108,7 +108,7 @@ def held_out(key: Column) -> Column:
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE, label: str = "quality", key: str = "doc_id", text: str = "text") -> bytes:
     """The model: one little-endian float a bucket. One scan of docs, with the chosen ids (2 * sample at most) sent to
     all tasks."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     own = labels.select(F.col(key).cast("long").alias("id"), F.col(label).cast("int").alias("y")).where(F.col("id").isNotNull() & ~held_out(F.col("id")))
     own = own.distinct()
     chosen = [own.where(F.col("y") == y).orderBy(F.xxhash64("id"), "id").limit(sample) for y in (0, 1)]
@@ -167,7 +167,7 @@ def _score(batches: Iterator, model) -> Iterator:
 def score(docs: DataFrame, model: bytes, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id and score, for each row, in one scan."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(model)  # 4 bytes a bucket, whatever the data
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return src.mapInArrow(lambda it: _score(it, sent), "doc_id long, score double")
@@ -193,7 +193,7 @@ def _keep(batches: Iterator, model, at: int) -> Iterator:
 def keep(docs: DataFrame, model: bytes, text: str = "text") -> DataFrame:
     """The rows whose score is 0.5 or more, with all their columns; one scan, no join."""
     spark = docs.sparkSession
-    small_batches(spark)
+    prepare(spark)
     sent = spark.sparkContext.broadcast(model)
     at = docs.columns.index(text)
     return docs.mapInArrow(lambda it: _keep(it, sent, at), docs.schema)

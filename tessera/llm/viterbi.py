@@ -25,7 +25,7 @@ from functools import lru_cache
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, small_batches
+from .common import documents, prepare
 
 MARK = "▁"
 _WORDS = re.compile(r" *[^ ]+| +")
@@ -136,7 +136,7 @@ def _measure(batches: Iterator, path: str) -> Iterator:
 
 def count_tokens(docs: DataFrame, path: str, key: str = "doc_id", text: str = "text") -> DataFrame:
     """doc_id, n_tokens and best_score, for each row; one scan, no shuffle."""
-    small_batches(docs.sparkSession)
+    prepare(docs.sparkSession)
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     return src.mapInArrow(lambda it: _measure(it, path), "doc_id long, n_tokens long, best_score double")
 
