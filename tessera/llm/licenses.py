@@ -19,6 +19,7 @@ ignored, whatever their names.
 
 from __future__ import annotations
 
+import json
 import math
 import re
 from functools import lru_cache
@@ -26,7 +27,7 @@ from functools import lru_cache
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, documents
+from .common import LOWER, UPPER, ascii_lower, documents
 
 NOT_WORD = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 #: (phrase, label)
@@ -91,44 +92,48 @@ def phrase_places(spaced: Column, n_words: Column, phrase: str) -> tuple[Column,
     return count, first, last
 
 
-def _votes(places: Column, postings: list[tuple[str, int]]) -> Column:
-    """Of the text's license words and their places: struct(word, place where the template would begin)."""
+#: A template's number and a place in one number; places may lie before the text's first word.
+_SPAN, _BEFORE = 1 << 40, 1 << 20
 
-    def of(word: str, off: int) -> Column:
-        here = F.filter(places, lambda p: p["w"] == word)
-        return F.transform(here, lambda p: F.struct(F.lit(word).alias("w"), (p["i"] - off).alias("at")))
-
-    return F.concat(*(of(w, p) for w, p in postings))
 
+def _lookup(words: Column) -> Column:
+    """Of an array of words: struct(label, score) for each place where a template is found.
 
-def _stands(words: Column, template: str, keys: tuple[str, ...], at: Column) -> Column:
-    """Whether a key phrase stands at its place in a template that begins at `at`, give or take the tolerance."""
-    ok = F.lit(False)
-    for key in keys:
-        part = F.array(*(F.lit(x) for x in key.split()))
-        for slip in range(-TOLERANCE, TOLERANCE + 1):
-            here = at + _place_of(template, key) + slip
-            ok = ok | ((here >= 0) & (F.slice(words, F.greatest(here, F.lit(0)) + 1, len(key.split())) == part))
-    return ok
+    Postings and templates are constants that the expression holds once, whatever their number."""
+    _, postings = index()
+    by_word: dict[str, list[dict]] = {}
+    for k, own in postings.items():
+        for w, off in own:
+            by_word.setdefault(w, []).append({"t": k, "off": off})
+    all_of = [
+        {"label": label, "keys": [{"at": _place_of(text, key), "words": key.split()} for key in keys], "posted": [{"w": w, "off": off} for w, off in postings[k]]}
+        for k, (label, text, keys) in enumerate(TEMPLATES)
+    ]
+    posted = F.from_json(F.lit(json.dumps(by_word)), "map<string, array<struct<t bigint, off bigint>>>")
+    templates = F.from_json(F.lit(json.dumps(all_of)), "array<struct<label string, keys array<struct<at bigint, words array<string>>>, posted array<struct<w string, off bigint>>>>")
+    slips = F.array(*(F.lit(x).cast("long") for x in range(-TOLERANCE, TOLERANCE + 1)))
 
+    def word_at(i: Column) -> Column:
+        return F.get(words, i.cast("int"))
 
-def _agreeing(votes: Column, at: Column) -> Column:
-    return F.size(F.array_distinct(F.transform(F.filter(votes, lambda v: F.abs(v["at"] - at) <= TOLERANCE), lambda v: v["w"])))
+    def key_stands(key: Column, at: Column) -> Column:
+        def here(slip: Column) -> Column:
+            i = at + key["at"] + slip
+            return (i >= 0) & (word_at(i) == F.get(key["words"], F.lit(0))) & (F.slice(words, (F.greatest(i, F.lit(0)) + 1).cast("int"), F.size(key["words"])) == key["words"])
 
+        return F.exists(slips, lambda slip: F.coalesce(here(slip), F.lit(False)))
 
-def _lookup(words: Column) -> Column:
-    """Of an array of words: struct(label, score) for each template found."""
-    vocab, postings = index()
-    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.alias("i"))), lambda p: p["w"].isin(vocab))
+    places = F.filter(F.transform(words, lambda w, i: F.struct(w.alias("w"), i.cast("long").alias("i"))), lambda p: p["w"].isin(sorted(by_word)))
+    votes = F.flatten(F.transform(places, lambda p: F.transform(F.element_at(posted, p["w"]), lambda q: q["t"] * _SPAN + _BEFORE + p["i"] - q["off"])))
 
-    def score(k: int) -> Column:
-        _, template, keys = TEMPLATES[k]
-        votes = _votes(places, postings[k])
-        starts = F.filter(F.array_distinct(F.transform(votes, lambda v: v["at"])), lambda at: _stands(words, template, keys, at))
-        return F.coalesce(F.array_max(F.transform(starts, lambda at: _agreeing(votes, at))) / F.lit(float(len(postings[k]))), F.lit(0.0))
+    def found(vote: Column) -> Column:
+        t = F.element_at(templates, (F.shiftright(vote, 40) + 1).cast("int"))
+        at = F.pmod(vote, F.lit(_SPAN)) - _BEFORE
+        agree = F.size(F.filter(t["posted"], lambda q: F.exists(slips, lambda slip: F.coalesce(word_at(at + q["off"] + slip) == q["w"], F.lit(False)))))
+        stands = F.exists(t["keys"], lambda key: key_stands(key, at))
+        return F.struct(t["label"].alias("label"), F.when(stands, agree / F.size(t["posted"])).otherwise(F.lit(0.0)).alias("score"))
 
-    found = F.array(*(F.struct(F.lit(TEMPLATES[k][0]).alias("label"), score(k).alias("score")) for k in postings))
-    return F.filter(found, lambda x: x["score"] >= LEAST_SHARE)
+    return F.filter(F.transform(F.array_distinct(votes), found), lambda x: x["score"] >= LEAST_SHARE)
 
 
 def _place_of(template: str, key: str) -> int:
@@ -150,7 +155,8 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
     rows = rows.select(
         "doc_id", "n_words", sum((c for c, _, _ in places), F.lit(0)).cast("long").alias("n_base"),
         F.least(*(f for _, f, _ in places)).alias("first_word"), F.greatest(*(x for _, _, x in places)).alias("last_word"), base.alias("base"),
-        F.when(may, _lookup(F.split("norm", " "))).alias("found"),
+        # inside a lambda the words are split once, not wherever they are read
+        F.when(may, F.element_at(F.transform(F.array(F.split("norm", " ")), _lookup), 1)).alias("found"),
     )
     found = F.coalesce(F.col("found"), F.from_json(F.lit("[]"), "array<struct<label string, score double>>"))
     labels = F.sort_array(F.array_distinct(F.concat(F.col("base"), F.transform(found, lambda x: x["label"]))))
@@ -161,3 +167,40 @@ def scan_licenses(docs: DataFrame, key: str = "doc_id", text: str = "text") -> D
 def op8_license_index(spark: SparkSession, sf_dir: str) -> DataFrame:
     """License labels of every document."""
     return scan_licenses(documents(spark, sf_dir))
+
+
+def _sql() -> str:
+    def text(x: str) -> str:
+        return "'" + x.replace("'", "''") + "'"
+
+    def words(x: str) -> str:
+        return "[" + ", ".join(map(text, x.split())) + "]"
+
+    _, postings = index()
+    posted = ", ".join(f"({k}, {text(w)}, {off})" for k, own in postings.items() for w, off in own)
+    keys = ", ".join(f"({k}, {text(label)}, {_place_of(t, key)}, {words(key)}, {len(postings[k])})" for k, (label, t, ks) in enumerate(TEMPLATES) for key in ks)
+    base = ", ".join(f"({words(p)}, {text(label)})" for p, label in BASE)
+    return rf"""
+WITH d AS (SELECT doc_id, row_number() OVER () AS r, trim(regexp_replace(translate(coalesce(text, ''), '{UPPER}', '{LOWER}'), '{NOT_WORD}', ' ', 'g')) AS norm FROM documents),
+w AS (SELECT doc_id, r, CASE WHEN norm = '' THEN [] ELSE string_split(norm, ' ') END AS w FROM d),
+b(phrase, label) AS (VALUES {base}),
+h AS (SELECT r, label, unnest(list_filter(range(len(w)), lambda i: w[i + 1] = phrase[1] AND w[i + 1 : i + len(phrase)] = phrase)) AS i FROM w, b),
+f AS (SELECT r, count(*) AS n_base, min(i) AS first_word, max(i) AS last_word, list(DISTINCT label) AS base FROM h GROUP BY r),
+p(t, x, off) AS (VALUES {posted}),
+k(t, label, place, phrase, n) AS (VALUES {keys}),
+u AS (SELECT r, unnest(w) AS x, generate_subscripts(w, 1) - 1 AS i FROM w),
+v AS (SELECT DISTINCT r, t, x, i - off AS pos FROM u JOIN p USING (x)),
+c AS (
+  SELECT DISTINCT r, t, pos, n, label FROM (SELECT DISTINCT r, t, pos FROM v) JOIN w USING (r) JOIN k USING (t), range(-{TOLERANCE}, {TOLERANCE} + 1) AS s(slip)
+  WHERE pos + place + slip >= 0 AND w[pos + place + slip + 1 : pos + place + slip + len(phrase)] = phrase),
+s AS (SELECT c.r, c.label, count(DISTINCT v.x) / c.n AS score FROM c JOIN v ON c.r = v.r AND c.t = v.t AND abs(v.pos - c.pos) <= {TOLERANCE} GROUP BY c.r, c.t, c.pos, c.n, c.label),
+g AS (SELECT r, list(DISTINCT label) AS found, max(score) AS score FROM s WHERE score >= {LEAST_SHARE} GROUP BY r)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(n_base, 0)::BIGINT AS n_base, first_word::BIGINT AS first_word, last_word::BIGINT AS last_word,
+       coalesce(array_to_string(list_sort(base), ','), '') AS base_labels,
+       coalesce(array_to_string(list_sort(list_distinct(list_concat(coalesce(base, []), coalesce(found, [])))), ','), '') AS labels,
+       CASE WHEN n_base > 0 THEN 1.0 ELSE coalesce(score, 0.0) END::DOUBLE AS score
+FROM w LEFT JOIN f USING (r) LEFT JOIN g USING (r)
+"""
+
+
+OP8_SQL = _sql()

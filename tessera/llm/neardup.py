@@ -347,51 +347,41 @@ def _confirm(batches: Iterator, num: int, den: int) -> Iterator:
 
 
 def _block_pairs(batches: Iterator, bound: int, words: int) -> Iterator:
-    """Of (key, i, j, side, node, comp, block, brief): the members within the bound of one of another component, with the
-    pair of their blocks: (lo, hi, node). Side 0 meets side 1, or itself where i = j."""
+    """Of (key, i, j, side, node, comp, block, brief): the pairs of blocks (lo, hi) that hold members within the bound of
+    each other and of different components. Side 0 meets side 1, or itself where i = j."""
     import numpy as np
     import pyarrow as pa
 
+    known: set[tuple[int, int]] = set()  # of this task, and bounded
     for t, cuts in _groups(batches, 3):
-        node, comp, block, side, part_i, part_j = (t.column(c).to_numpy() for c in ("node", "comp", "block", "side", "i", "j"))
+        comp, block, side, part_i, part_j = (t.column(c).to_numpy() for c in ("comp", "block", "side", "i", "j"))
         short = _briefs(t.column("brief"), words)
-        out: list[list] = [[], [], []]
-
-        def found(mine, theirs, near, node=node, block=block, out=out):
-            """Rows for `mine`, and the blocks among `theirs` (in order of block) that each is near to."""
-            starts = np.flatnonzero(np.r_[True, block[theirs][1:] != block[theirs][:-1]])
-            u, k = np.nonzero(np.logical_or.reduceat(near, starts, axis=1))
-            own, other = block[mine[u]], block[theirs[starts[k]]]
-            out[0].append(np.minimum(own, other))
-            out[1].append(np.maximum(own, other))
-            out[2].append(node[mine[u]])
-
+        found: set[tuple[int, int]] = set()
         for lo, hi in itertools.pairwise(cuts.tolist()):
             label, n = np.unique(comp[lo:hi], return_counts=True)
             if len(label) < 2:
                 continue
             order = lo + np.argsort(block[lo:hi], kind="stable")
             left, right = order[side[order] == 0], order[side[order] == 1]
-            small = comp[order] != label[n.argmax()]  # of two components one isn't the largest
             if part_i[lo] == part_j[lo]:
-                tasks = [(order[small], order)]
-            else:
-                tasks = [(left[comp[left] != label[n.argmax()]], right), (right[comp[right] != label[n.argmax()]], left)]
-            for x, y in tasks:
-                if not len(y):
+                left = right = order
+            # of two components one isn't the largest
+            for x, y in ((left, right), (right, left))[: 1 if left is right else 2]:
+                x = x[comp[x] != label[n.argmax()]]
+                if not len(x) or not len(y):
                     continue
+                theirs = np.flatnonzero(np.r_[True, block[y][1:] != block[y][:-1]])
                 for at in range(0, len(x), STEP):
                     p = x[at : at + STEP]
                     near = (differing(short[p][:, None, :], short[y][None, :, :]) <= bound) & (comp[p][:, None] != comp[y][None, :])
                     if near.any():
-                        found(p, y, near)
-                        found(y, p, near.T)
-        if not out[0]:
-            continue
-        low, high, who = (np.concatenate(x) for x in out)
-        mark = _mixed(_mixed(_mixed(low) ^ high.astype("u8")) ^ who.astype("u8"))
-        first = np.unique(mark, return_index=True)[1]
-        yield pa.record_batch([pa.array(low[first]), pa.array(high[first]), pa.array(who[first])], ["lo", "hi", "node"])
+                        mine = np.flatnonzero(np.r_[True, block[p][1:] != block[p][:-1]])
+                        u, v = np.nonzero(np.logical_or.reduceat(np.logical_or.reduceat(near, theirs, axis=1), mine, axis=0))
+                        u, v = block[p[mine[u]]], block[y[theirs[v]]]
+                        found.update(zip(np.minimum(u, v).tolist(), np.maximum(u, v).tolist(), strict=True))
+        new = np.array(sorted(found - known), "i8").reshape(-1, 2)
+        known = found if len(known) > 500_000 else known | found
+        yield pa.record_batch([pa.array(new[:, 0]), pa.array(new[:, 1])], ["lo", "hi"])
 
 
 def _digest(text: Column) -> Column:
@@ -494,11 +484,11 @@ def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, po
     other = F.explode(F.sequence(F.lit(0), F.col("last"))).alias("other")
     tiles = rows.select("*", other).select("key", F.least("part", "other").alias("i"), F.greatest("part", "other").alias("j"), (F.col("part") > F.col("other")).cast("int").alias("side"), "node", "comp", "block", "brief")
     tiles = tiles.repartition("key", "i", "j").sortWithinPartitions("key", "i", "j")
-    ends = save(tiles.mapInArrow(lambda it: _block_pairs(it, bound, words), "lo long, hi long, node long").distinct(), "ends")
-    grp = ends.join(blocks, "node").join(nodes.select("node", "comp"), "node").withColumn("grp", F.xxhash64("lo", "hi"))
-    members = grp.where("block = lo").select("grp", F.lit(0).alias("side"), "node", "comp").union(grp.where("block = hi").select("grp", F.lit(1).alias("side"), "node", "comp"))
+    met_blocks = save(tiles.mapInArrow(lambda it: _block_pairs(it, bound, words), "lo long, hi long").distinct().withColumn("grp", F.xxhash64("lo", "hi")), "met_blocks")
+    held = blocks.join(nodes.select("node", "comp"), "node")
+    members = reduce(DataFrame.union, (met_blocks.withColumnRenamed(end, "block").join(held, "block").select("grp", F.lit(side).alias("side"), "node", "comp") for side, end in enumerate(("lo", "hi"))))
     nodes = joined(nodes, confirm(members, "links"))
-    drop(*tables, rest, sized, homes, blocks, ends)
+    drop(*tables, rest, sized, homes, blocks, met_blocks)
 
     named = classes.join(nodes.select("node", "comp"), "node", "left").select("set_key", "rep", "first", F.coalesce("comp", "node").alias("comp"))
     smallest = named.groupBy("comp").agg(F.min("rep").alias("component_id"), F.min("first").alias("first"))

@@ -20,4 +20,5 @@ QUERIES = {
 ORACLE_SQL: dict[str, str] = {
     "op5_curriculum_mix": mixing.OP5_SQL,
     "op7_near_duplicates": neardup.OP7_SQL,
+    "op8_license_index": licenses.OP8_SQL,
 }

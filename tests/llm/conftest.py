@@ -8,7 +8,15 @@ CLASHING = ("node", "sig", "ids", "size", "cell", "shard", "uid", "mark", "bucke
 
 
 @pytest.fixture(scope="session")
-def corpus(spark):
+def clash():
+    """Adds columns under names that operators use inside."""
+    from pyspark.sql import functions as F
+
+    return lambda df: df.withColumns({c: F.lit("clash") for c in CLASHING if c not in df.columns})
+
+
+@pytest.fixture(scope="session")
+def corpus(spark, clash):
     """Small documents of every odd kind: (DataFrame with clashing extra columns, list of (doc_id, text, source))."""
     rnd = random.Random(5)
     words = ["alpha", "Beta", "gamma", "delta's", "épsilon", "ζήτα", "eta,", "theta.", "42", "x", "漢字", "under", "the", "mit", "license"]
@@ -25,11 +33,7 @@ def corpus(spark):
     rows += [(200, None, "a"), (201, "", "b"), (202, " \n\t ", None), (203, "a  b \n\n c   ", "c"), (204, "word " * 3000, "c"), (205, "\x00\x1f É́ x y", "c"), (206, "<|endoftext|> a", "c")]
     rows += [(300, "twice the same row", "a")] * 2 + [(None, "no id at all", "a"), (None, None, None)]
     df = spark.createDataFrame([(i, t, "en", s, len(t or "")) for i, t, s in rows], SCHEMA)
-    for c in CLASHING:
-        from pyspark.sql import functions as F
-
-        df = df.withColumn(c, F.lit("clash"))
-    return df, rows
+    return clash(df), rows
 
 
 @pytest.fixture(scope="session")

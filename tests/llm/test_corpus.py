@@ -187,6 +187,36 @@ def test_texts_of_many_licenses(spark):
         assert got[d] >= {licenses.TEMPLATES[k][0] for k in ks}
 
 
+def test_licenses_match_sql(spark, clash):
+    """Templates with words taken out, put in and changed, many in a text: the whole result against SQL."""
+    import duckdb
+
+    rnd = random.Random(1)
+    rows = [(1000, None), (1001, ""), (1002, "Under the MIT License. cc by nc, CC-BY-NC"), (None, "under the mit license"), (7, "x " * 30_000 + licenses.TEMPLATES[3][1])]
+    for k in range(200):
+        parts = []
+        for _ in range(rnd.randint(0, 3)):
+            w = rnd.choice(licenses.TEMPLATES)[1].split()
+            for _ in range(rnd.choice([0, 1, 3, 8, 30])):
+                j = rnd.randrange(len(w))
+                w[j : j + 1] = rnd.choice([["zz"], ["zz", w[j]], []]) or (["zz"] if len(w) == 1 else [])
+            parts += w + ["pad"] * rnd.randint(0, 3)
+        rows.append((k, " ".join(parts)))
+    docs = clash(spark.createDataFrame(rows, "doc_id long, text string"))
+    got = Counter(map(tuple, licenses.scan_licenses(docs).collect()))
+    con = duckdb.connect()
+    con.sql("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert got == Counter(con.sql(licenses.OP8_SQL).fetchall())
+    assert len({r[7] for r in got}) > 2
+
+
+def test_many_licenses_in_one_text_stay_quick(spark):
+    text = " ".join(t for _, t, _ in licenses.TEMPLATES) + " "
+    row = licenses.scan_licenses(spark.createDataFrame([(1, text * 300)], "doc_id long, text string")).first()
+    assert row.labels.count(",") == 15 and row.n_base == 300
+
+
 def test_licenses_empty(empty):
     assert licenses.scan_licenses(empty).count() == 0
 
