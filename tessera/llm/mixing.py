@@ -8,11 +8,13 @@ of the source's cumulative demand, and inverting the schedule's integral there g
 training. A range sort by position is the training order.
 
 Running sums over a source are taken in two steps, over buckets of the hashed order and inside them, so that no source,
-however large, is one task's work.
+however large, is one task's work. The order hashes doc_id; where rows without a doc_id, or of one doc_id, fill a bucket
+beyond twice its measure, it is split by where the rows stand in the input.
 
 Defined cases. Null text has size 0 and is never taken. A null source is a source of its own, after the others. Rows
 that repeat a doc_id are documents of their own; equal rows are interchangeable. An empty table gives no rows, and a
-mix without words takes none. Other columns are ignored, whatever their names.
+mix without words takes none. Other columns are ignored, whatever their names. A mix that keeps columns reads docs
+twice, and docs must give the same rows in the same order then, as files and written tables do.
 """
 
 from __future__ import annotations
@@ -57,7 +59,7 @@ def invert(schedules: Sequence[Schedule], which: Column, share: Column) -> Colum
 
 def targets(sizes: DataFrame, weights: Sequence[float], total_share: float, max_repeats: float) -> DataFrame:
     """sizes: skey, source, source_size, n_docs, one row a source. Adds nth (of the weights), target and goal."""
-    everything = Window.partitionBy()
+    everything = Window.partitionBy()  # one row a source, all in one task: three numbers and a name each
     w = F.element_at(F.array(*(F.lit(float(x)) for x in weights)), F.col("nth") + 1)
     ranked = sizes.withColumn("nth", ((F.row_number().over(Window.orderBy(F.col("source").asc_nulls_last())) - 1) % len(weights)).cast("int"))
     ranked = ranked.withColumn("w", w).withColumn("cap", F.lit(float(max_repeats)) * F.col("source_size"))
@@ -80,7 +82,7 @@ def plan_mix(
     words = F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)), F.lit(0)).cast("long")
     mark = F.conv(F.substring(F.md5(F.coalesce(F.col(key).cast("string"), F.lit("null"))), 1, 15), 16, 10).cast("long")
     skey = F.when(F.col(source).isNull(), F.lit("n")).otherwise(F.concat(F.lit("s"), F.col(source)))
-    cols = [F.col(key).alias("doc_id"), F.col(source).alias("source"), skey.alias("skey"), words.alias("size"), mark.alias("mark"), F.xxhash64(F.col(text)).alias("tie")]
+    cols = [F.col(key).alias("doc_id"), F.col(source).alias("source"), skey.alias("skey"), words.alias("size"), mark.alias("mark"), F.xxhash64(F.col(text)).alias("tie"), F.xxhash64(F.monotonically_increasing_id()).alias("uid")]
     base = save(docs.select(*cols), "sizes")
     sizes = base.groupBy("skey", "source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n_docs"))
     plan = save(targets(sizes, [integral(s) for s in schedules], total_share, max_repeats), "targets").drop("source")
@@ -91,13 +93,24 @@ def plan_mix(
         buckets = F.ceil(F.col("n_docs") / BUCKET_ROWS)
         return rows.join(plan, "skey").withColumn("bucket", F.floor(F.col("mark") / F.lit(float(1 << 60)) * buckets))
 
-    ahead = Window.partitionBy("skey").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    sums = bucketed(base).groupBy("skey", "bucket").agg(F.sum("size").alias("words"))
-    sums = sums.select("skey", "bucket", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
+    full = bucketed(base).groupBy("skey", "bucket").agg(F.count(F.lit(1)).alias("n"))
+    full = save(full.where(F.col("n") > 2 * BUCKET_ROWS).select("skey", "bucket", F.ceil(F.col("n") / BUCKET_ROWS).alias("split")), "full")
+    hot = full.count()
+
+    def dealt(rows: DataFrame) -> DataFrame:
+        """Rows with their part of a bucket: 0 but in buckets that are too full."""
+        if not hot:
+            return bucketed(rows).withColumn("part", F.lit(0).cast("long"))
+        split = F.broadcast(full) if hot <= BROADCAST_SOURCES else full
+        return bucketed(rows).join(split, ["skey", "bucket"], "left").withColumn("part", F.coalesce(F.pmod(F.col("uid"), F.col("split")), F.lit(0).cast("long")))
+
+    ahead = Window.partitionBy("skey").orderBy("bucket", "part").rowsBetween(Window.unboundedPreceding, -1)
+    sums = dealt(base).groupBy("skey", "bucket", "part").agg(F.sum("size").alias("words"))
+    sums = sums.select("skey", "bucket", "part", F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("base"))
     # columns like texts are read once more, which is less than to write them above
-    rows = bucketed(docs.select(*cols, *(F.col(c).alias(f"_kept_{c}") for c in keep)) if keep else base)
-    inside = Window.partitionBy("skey", "bucket").orderBy("mark", "doc_id", "size", "tie").rowsBetween(Window.unboundedPreceding, -1)
-    return rows.join(sums, ["skey", "bucket"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
+    rows = dealt(docs.select(*cols, *(F.col(f"`{c}`").alias(f"_kept_{c}") for c in keep)) if keep else base)
+    inside = Window.partitionBy("skey", "bucket", "part").orderBy("mark", "doc_id", "size", "tie", "uid").rowsBetween(Window.unboundedPreceding, -1)
+    return rows.join(sums, ["skey", "bucket", "part"]).withColumn("before", F.col("base") + F.coalesce(F.sum("size").over(inside), F.lit(0)))
 
 
 def copy_words(copy: Column, whole: bool) -> Column:
@@ -122,7 +135,7 @@ def mix(docs: DataFrame, schedules: Sequence[Schedule] = CURRICULUM, total_share
     spent = (F.col("copy") * F.col("source_size") + F.col("before") + F.col("words") / 2) / F.col("goal")
     placed = taken.withColumn("position", invert(schedules, F.col("nth"), F.least(spent, F.lit(1.0))))
     ordered = placed.orderBy("position", "doc_id", "copy")
-    kept = [F.col(f"_kept_{c}").alias(c) for c in keep]
+    kept = [F.col(f"`_kept_{c}`").alias(c) for c in keep]
     return ordered.select(*(c for c in ("doc_id", "copy", "words", "position") if c not in keep), *kept)
 
 
