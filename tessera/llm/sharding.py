@@ -9,8 +9,8 @@ cells. A document falls in the range that its middle byte lies in, so ranges are
 Documents above 1 / 200 of a shard, of which there can't be more than 200 a shard, walk first, each by itself and
 whole, so that rounding to documents stays below 1 / 400 of a shard.
 
-The law is `bytes`: the shards' sizes are near equal. A cell may hold a third of all rows (one text copied): cells are
-split by document into parts of bounded rows for the running sums.
+The law is `bytes`: the shards' sizes are near equal. A cell may hold a third of all rows (one text copied, with or
+without doc_ids): cells are split by row into parts of about 1000 rows for the running sums.
 
 Defined cases. Null text has no bytes and so size 1. Equal texts stay together unless a shard fills up among them.
 Rows that repeat a doc_id, or have none, are placed like any other. An empty table gives no rows. Other columns are
@@ -28,7 +28,7 @@ from .common import documents, rows_table, save
 
 CELL_BITS = 14
 VNODES = 128
-PART_ROWS = 50_000
+PART_ROWS = 1000
 #: Documents above 1 / LARGE of a shard are placed one by one.
 LARGE = 200
 
@@ -92,7 +92,7 @@ def assign_shards(docs: DataFrame, shards: int, slack: float = 0.001, vnodes: in
     ranges = rows_table(spark, spans, "cell int, lo bigint, hi bigint, shard int")
     alone = base.join(F.broadcast(rows_table(spark, singles, "uid bigint, own int")), "uid")
     parts = rows_table(spark, [{"cell": r.cell, "parts": -(-r.rows // PART_ROWS)} for r in hist], "cell int, parts int")
-    rows = small.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("doc_id", F.lit("part")), F.col("parts")).cast("int"))
+    rows = small.join(F.broadcast(parts), "cell").withColumn("part", F.pmod(F.xxhash64("uid"), F.col("parts")).cast("int"))
     ahead = Window.unboundedPreceding, -1
     sums = rows.groupBy("cell", "part").agg(F.sum("size").alias("bytes"))
     sums = sums.select("cell", "part", F.coalesce(F.sum("bytes").over(Window.partitionBy("cell").orderBy("part").rowsBetween(*ahead)), F.lit(0)).alias("base"))
