@@ -33,7 +33,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import documents, drop, prepare, save
+from .common import documents, drop, prepare, save, unused
 from .components import components
 
 _MIX = 0x9E3779B97F4A7C15
@@ -166,7 +166,7 @@ def _keys(batches: Iterator, plan: list[tuple[int, ...]], positions: int) -> Ite
         yield pa.record_batch([pa.array(np.concatenate(out)), pa.array(np.tile(node, len(plan)))], ["key", "node"])
 
 
-def _shared(batches: Iterator) -> Iterator:
+def _shared(batches: Iterator, part_rows: int) -> Iterator:
     """Of rows (key, node) in order of key: those of keys with more than one, and the part of the key that each is in."""
     import numpy as np
     import pyarrow as pa
@@ -187,7 +187,7 @@ def _shared(batches: Iterator) -> Iterator:
         done = len(k) - 1 if new else len(k)  # the last row waits for the next batch
         keys, nodes, started = k[done:], n[done:], int(rank[-1])
         at = np.flatnonzero(live[:done])
-        yield pa.record_batch([pa.array(k[at]), pa.array((rank[at] // PART_ROWS).astype("i4")), pa.array(n[at])], ["key", "part", "node"])
+        yield pa.record_batch([pa.array(k[at]), pa.array((rank[at] // part_rows).astype("i4")), pa.array(n[at])], ["key", "part", "node"])
 
 
 def _groups(batches: Iterator, by: int) -> Iterator:
@@ -220,7 +220,7 @@ def _briefs(column, words: int):
     return np.frombuffer(b"".join(column.to_pylist()), "<u8").reshape(-1, words)
 
 
-def _meet(batches: Iterator, bound: int, words: int, turn: int) -> Iterator:
+def _meet(batches: Iterator, bound: int, words: int, turn: int, part_rows: int) -> Iterator:
     """Of (key, part, node, comp, brief): each member's nearest of those before it, in an order of the turn's, that is
     within the bound and of another component: (node, distance, partner). Partner is null for one that is near to a later
     one only, or may be near to one in another part of the key."""
@@ -245,7 +245,7 @@ def _meet(batches: Iterator, bound: int, words: int, turn: int) -> Iterator:
         for lo, n in zip(cuts[:-1][size > 2].tolist(), size[size > 2].tolist(), strict=True):
             order = lo + np.argsort(rank[lo : lo + n])
             own, of, s = node[order], comp[order], short[order]
-            marked = np.full(n, n >= PART_ROWS or part[lo] > 0)
+            marked = np.full(n, n >= part_rows or part[lo] > 0)
             for at in range(0, n, STEP):
                 d = differing(s[at : at + STEP, None, :], s[None, : at + STEP, :])
                 far = (of[at : at + STEP, None] == of[None, : at + STEP]) | (d > bound)
@@ -396,9 +396,10 @@ def near_duplicates(docs: DataFrame, **options) -> DataFrame:
     return out.select("doc_id", "n_shingles", component.alias("component_id"), F.col("doc_id").eqNullSafe(component).alias("kept"))
 
 
-def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, positions: int = 64, key: str = "doc_id", text: str = "text", meetings: int = 2) -> DataFrame:
+def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, positions: int = 64, key: str = "doc_id", text: str = "text", meetings: int = 2, part_rows: int = PART_ROWS, block_nodes: int = BLOCK_NODES) -> DataFrame:
     """doc_id, digest of the text, n_shingles, component_id and first, for each row. first is the row that stands for
-    the component, by (no doc_id, doc_id, digest); component_id and first are null for rows without shingles."""
+    the component, by (no doc_id, doc_id, digest); component_id and first are null for rows without shingles. The numbers
+    of meetings, rows in a part and nodes in a block change the way and not the result."""
     prepare(docs.sparkSession)
     if positions % 16:
         raise ValueError("positions must be a multiple of 16")
@@ -411,12 +412,12 @@ def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, po
     classes = save(classes.withColumn("node", F.monotonically_increasing_id()), "classes")
     keys = classes.select("node", "sig").mapInArrow(lambda it: _keys(it, plan, positions), "key long, node long")
     keys = keys.repartition("key").sortWithinPartitions("key", F.xxhash64("key", "node"))
-    live = save(keys.mapInArrow(_shared, "key long, part int, node long"), "live")  # members of keys that several have
+    live = save(keys.mapInArrow(lambda it: _shared(it, part_rows), "key long, part int, node long"), "live")  # members of keys that several have
 
     def meet(rows: DataFrame, turn: int) -> DataFrame:
         """(node, partner), one row for each node that is near to any of another component."""
         rows = rows.repartition("key", "part").sortWithinPartitions("key", "part").select("key", "part", "node", "comp", "brief")
-        met = rows.mapInArrow(lambda it: _meet(it, bound, words, turn), "node long, d int, partner long")
+        met = rows.mapInArrow(lambda it: _meet(it, bound, words, turn, part_rows), "node long, d int, partner long")
         return met.groupBy("node").agg(F.min(F.struct("d", "partner")).alias("best")).select("node", F.col("best.partner").alias("partner"))
 
     def confirm(members: DataFrame, name: str) -> DataFrame:
@@ -475,7 +476,7 @@ def grouped(docs: DataFrame, shingle: int = 5, num: int = 80, den: int = 100, po
     homes = rest.select("node").distinct().join(sized, "node").join(nearest, "node", "left")
     homes = homes.select("node", "n", F.xxhash64(F.greatest("own", F.coalesce("their", "own")), F.col("own") < F.col("their")).alias("home"), F.pmod(F.xxhash64("node"), F.lit(SALTS)).alias("salt"))
     homes = save(homes, "homes")
-    full = homes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / BLOCK_NODES, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
+    full = homes.groupBy("home").agg(F.ceil(F.greatest(F.count(F.lit(1)) / block_nodes, F.sum("n") / BLOCK_SHINGLES)).alias("blocks"))
     full = full.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1)).cast("array<long>")))
     block = F.xxhash64("home", F.pmod(F.xxhash64("node", F.lit(1)), F.col("blocks")))
     blocks = save(homes.join(full, ["home", "salt"]).select("node", block.alias("block")), "blocks")
@@ -508,12 +509,13 @@ def keep(docs: DataFrame, key: str = "doc_id", text: str = "text", **options) ->
     out = grouped(docs, key=key, text=text, **options).where("n_shingles > 0")
     spared = ~(F.col("doc_id").eqNullSafe(F.col("first.doc_id")) & (F.col("digest") == F.col("first.digest")))
     out = save(out.select("doc_id", "digest", spared.alias("spared")), "kept")
-    gone = out.where("spared").select(F.col("doc_id").alias("_gone"), F.col("digest").alias("_digest")).distinct()
-    left = docs.join(gone, docs[key].cast("long").eqNullSafe(gone["_gone"]) & (_digest(docs[text]) == gone["_digest"]), "left_anti")
+    own, mark = unused(docs, "own"), unused(docs, "mark")
+    gone = out.where("spared").select(F.col("doc_id").alias(own), F.col("digest").alias(mark)).distinct()
+    left = docs.join(gone, docs[key].cast("long").eqNullSafe(gone[own]) & (_digest(docs[text]) == gone[mark]), "left_anti")
     if out.where("NOT spared").groupBy("doc_id", "digest").count().where("count > 1").limit(1).count():  # else no row repeats another
         words = F.coalesce(F.col(text).cast("string").rlike(r"[^\x20\x09-\x0D]"), F.lit(False))
-        own = left.where(words).withColumns({"_gone": F.col(key).cast("long"), "_digest": _digest(F.col(text))})
-        left = own.dropDuplicates(["_gone", "_digest"]).drop("_gone", "_digest").unionByName(left.where(~words))
+        rows = left.where(words).withColumns({own: F.col(key).cast("long"), mark: _digest(F.col(text))})
+        left = rows.dropDuplicates([own, mark]).drop(own, mark).unionByName(left.where(~words))
     return left
 
 
