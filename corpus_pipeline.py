@@ -1,8 +1,9 @@
 """The corpus pipeline: quality classifier, near-duplicates, mix, packing.
 
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame, which is written and read again as the next one's docs.
-All but the last return the columns of documents; the last returns the packed pieces. Stages keep the table's own
-columns, whatever else it has, and treat nulls, ties and repeated rows as their operators say.
+All but the last return the columns of documents, with whatever else the table has; the last returns the packed pieces.
+Nulls, ties, empty and long texts and repeated rows are treated as the stages' operators say. An empty table gives no
+rows.
 """
 
 from __future__ import annotations
@@ -13,25 +14,23 @@ from pyspark.sql import functions as F
 from tessera.llm import mixing, neardup, packing, quality
 from tessera.llm.common import documents, save
 
-COLUMNS = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def classify(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality classifier (operator 6) doesn't reject. Null and empty texts score 0.5 and stay."""
     model = quality.fit(docs, documents(spark, sf_dir, "labels"))
-    return quality.keep(docs.select(*COLUMNS), model)
+    return quality.keep(docs, model)
 
 
 def deduplicate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each near-duplicate group (operator 7; five words, similarity 0.8), of the smallest doc_id in it. Rows
     are told apart by doc_id and text; those without words all stay."""
-    return neardup.keep(docs.select(*COLUMNS))
+    return neardup.keep(docs)
 
 
 def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The mix of sources (operator 5) in training order: documents that it doesn't take go, and those that it takes
     twice stand there twice. Documents are taken whole."""
-    return mixing.mix(docs, keep=COLUMNS).select(*COLUMNS)
+    return mixing.mix(docs, keep=docs.columns).select(*(F.col(f"`{c}`") for c in docs.columns))
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,7 +39,7 @@ def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 STAGES = [("quality classifier", classify), ("near duplicates", deduplicate), ("mix", mix), ("packing", pack)]
-#: A learned classifier can't be put in SQL; the stages are tested against brute force.
+#: A learned classifier can't be put in SQL; tests hold every stage against brute force on a small table.
 ORACLE_SQL = None
 
 
