@@ -62,15 +62,10 @@ def not_exists(df: DataFrame, sub: DataFrame, on: Column) -> DataFrame:
 
 def not_in(df: DataFrame, column: str, sub: DataFrame) -> DataFrame:
     """Rows whose value isn't in sub's only column, by SQL: with a NULL in sub there are none, and a NULL value stays
-    only if sub is empty. One scan of sub tells how many rows and NULLs it has; the rest is an ordinary anti join."""
-    only = sub.columns[0]
-    n, nulls = sub.agg(F.count(F.lit(1)), F.count_if(F.col(only).isNull())).first()
-    if nulls:
-        return df.limit(0)
-    if not n:
-        return df
-    s = sub.select(F.col(only).alias("__in"))
-    return df.where(F.col(column).isNotNull()).join(s, F.col(column) == F.col("__in"), "left_anti")
+    only if sub is empty. Catalyst has a null-aware anti join for that form, and no job runs before the plan does."""
+    spark, names = df.sparkSession, ("`" + x.replace("`", "``") + "`" for x in (column, sub.columns[0]))
+    own, only = names
+    return spark.sql(f"SELECT * FROM {{df}} WHERE {own} NOT IN (SELECT {only} FROM {{sub}})", df=df, sub=sub)
 
 
 def aggregate(df: DataFrame, keys: Sequence[Column | str], *aggs: Column) -> DataFrame:

@@ -7,14 +7,17 @@ operators or the transaction API directly.
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import reduce
 
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import operators as O
+from .errors import SerializationError, TesseraError
 from .session import Session
 from .slt.script import Runner
+from .sources import tpcc
 from .sources.folder import new_folder
 from .types import Type
 
@@ -26,7 +29,6 @@ SQL: dict[str, str | tuple[str, str]] = {
     "scan_region": "SELECT * FROM region",
     "scan_filter": "SELECT l_orderkey, l_quantity FROM lineitem WHERE l_quantity > 45 AND l_discount < 0.03",
     "point_lookup": "SELECT * FROM customer WHERE c_custkey = 42",
-    "index_scan_grouped": "SELECT c_mktsegment, COUNT(*) AS rows_of_key FROM customer GROUP BY c_mktsegment",
     "derived_table": "SELECT a.k AS k FROM (SELECT o_orderkey AS k FROM orders WHERE o_totalprice > 100000) AS a WHERE a.k > 100",
     "project_arith": "SELECT l_orderkey, l_linenumber, l_extendedprice * (1 - l_discount) AS net, -l_quantity AS minus, +l_tax AS plus FROM lineitem",
     "project_constant": "SELECT r_regionkey, 1 + 1 AS two, 'x' AS x, NULL AS nothing FROM region",
@@ -74,6 +76,7 @@ SQL: dict[str, str | tuple[str, str]] = {
                     "SELECT c.c_custkey AS k, o.o_orderkey AS o FROM customer AS c LEFT JOIN orders AS o ON c.c_custkey = o.o_custkey AND o.o_totalprice > 300000 ORDER BY o NULLS FIRST, k DESC LIMIT 50"),
     "limit_offset": ("SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey OFFSET 7 LIMIT 25", "SELECT o_orderkey, o_totalprice FROM orders ORDER BY o_orderkey LIMIT 25 OFFSET 7"),
     "limit_pair": ("SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 5, 20", "SELECT o_orderkey FROM orders ORDER BY o_totalprice DESC, o_orderkey LIMIT 20 OFFSET 5"),
+    "limit_n_offset": "SELECT o_orderkey FROM orders ORDER BY o_orderkey DESC LIMIT 20 OFFSET 5",
     "top_k": "SELECT l_orderkey, l_linenumber, l_extendedprice FROM lineitem ORDER BY l_extendedprice DESC, l_orderkey, l_linenumber LIMIT 100",
     "upper": "SELECT c_custkey, UPPER(c_mktsegment) AS up FROM customer",
     "timestamp_compare": ("SELECT o_orderkey FROM orders WHERE o_orderdate > '1997-01-01 00:00:00'", "SELECT o_orderkey FROM orders WHERE o_orderdate > TIMESTAMP '1997-01-01 00:00:00'"),
@@ -219,6 +222,69 @@ def index_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     return txn.index_get(txn.table("copy"), "by_region", (2,)).select("id", "name")
 
 
+def index_scan_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every key of an index with its rows, NULL a key as well."""
+    s = session(spark, sf_dir, "customer", "orders")
+    s.execute("CREATE TABLE kept (id INTEGER PRIMARY KEY, segment TEXT)")
+    s.execute("CREATE INDEX by_segment ON kept (segment)")
+    s.execute("INSERT INTO kept (id, segment) SELECT c_custkey, c_mktsegment FROM customer")
+    s.execute("UPDATE kept SET segment = NULL WHERE id % 10 = 0")
+    txn = s.manager.begin(read_only=True)
+    rows = txn.index_scan(txn.table("kept"), "by_segment")
+    return rows.select("segment", F.size("rows").cast("long").alias("rows_of_key"), F.array_min("rows.id").alias("first_id"), F.aggregate("rows.id", F.lit(0).cast("long"), lambda a, x: a + x).alias("ids"))
+
+
+def refused(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Statements that a rule forbids, with the error of each; and the rows, which they leave as they were."""
+    s = _copied(spark, sf_dir)
+    s.execute("CREATE UNIQUE INDEX by_name ON copy (name)")
+    out = []
+    for sql in (
+        "INSERT INTO copy (id, name) SELECT n_nationkey, 'again' FROM nation", "INSERT INTO copy (id, name) VALUES (200, 'x'), (200, 'y')", "INSERT INTO copy (id, name) SELECT 300, n_name FROM nation WHERE n_nationkey = 3",
+        "UPDATE copy SET name = 'same'", "UPDATE copy SET id = 1 WHERE id = 2", "INSERT INTO copy (id, name) VALUES (201, NULL)", "CREATE UNIQUE INDEX by_region ON copy (region)", "CREATE TABLE copy (id INTEGER PRIMARY KEY)",
+    ):
+        try:
+            s.execute(sql).collect()
+            out.append((len(out), "none"))
+        except TesseraError as e:
+            out.append((len(out), type(e).__name__))
+    names = spark.createDataFrame(out, "k long, what string")
+    return names.union(s.execute("SELECT id, name FROM copy"))
+
+
+def mvcc_conflict(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Two transactions at once that write the same keys: the first writer wins, whichever commits first; others go on."""
+    s = _copied(spark, sf_dir)
+    other = Session(spark, s.store.root)
+    s.execute("BEGIN")
+    other.execute("BEGIN")
+    s.execute("UPDATE copy SET hits = 1 WHERE region = 0")
+    s.execute("INSERT INTO copy (id, name) VALUES (700, 'mine')")
+    out = []
+    for sql in ("UPDATE copy SET hits = 2 WHERE region = 0", "DELETE FROM copy WHERE region = 0", "INSERT INTO copy (id, name) VALUES (700, 'theirs')", "UPDATE copy SET hits = 3 WHERE region = 1"):
+        try:
+            other.execute(sql).collect()
+            out.append((-1 - len(out), "done", 0))
+        except SerializationError:
+            out.append((-1 - len(out), "refused", 0))
+    other.execute("COMMIT")
+    s.execute("COMMIT")
+    return spark.createDataFrame(out, "id long, name string, hits long").union(s.execute("SELECT id, name, hits FROM copy"))
+
+
+def drops(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """DROP INDEX lets values repeat, DROP TABLE ends a table, and its name can be used again."""
+    s = _copied(spark, sf_dir)
+    s.execute("CREATE UNIQUE INDEX by_name ON copy (name)")
+    s.execute("DROP INDEX by_name ON copy")
+    s.execute("INSERT INTO copy (id, name) SELECT n_nationkey + 100, n_name FROM nation")
+    before = s.execute("SELECT COUNT(*) AS cnt FROM copy").first().cnt
+    s.execute("DROP TABLE copy")
+    s.execute("CREATE TABLE copy (id INTEGER PRIMARY KEY)")
+    s.execute("INSERT INTO copy (id) VALUES (1)")
+    return s.execute(f"SELECT id, {before} AS before FROM copy")
+
+
 def key_read(spark: SparkSession, sf_dir: str) -> DataFrame:
     txn = _copied(spark, sf_dir).manager.begin(read_only=True)
     return txn.get(txn.table("copy"), (5,))
@@ -233,7 +299,10 @@ def show_create_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def explain(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return session(spark, sf_dir, "nation").execute("EXPLAIN PHYSICAL VERBOSE SELECT n_name FROM nation WHERE n_nationkey = 1")
+    """The kinds of plan, and whether the filter and the columns reach the file."""
+    plan = session(spark, sf_dir, "nation").execute("EXPLAIN PHYSICAL VERBOSE SELECT n_name FROM nation WHERE n_nationkey = 1")
+    text = F.col("plan")
+    return plan.select("type", text.contains("PushedFilters: [IsNotNull(n_nationkey), EqualTo(n_nationkey,1)]").alias("filter_in_scan"), (text.contains("ReadSchema") & ~text.rlike("ReadSchema: [^\n]*n_regionkey")).alias("columns_pruned"))
 
 
 def check(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -241,10 +310,13 @@ def check(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def dataset_tpcc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The generated dataset in versioned tables, counted by district of its orders."""
+    """The generated dataset in versioned tables: the rows of each, and the orders whose lines aren't as many as they say."""
     s = session(spark, sf_dir)
     s.execute("CREATE DATASET tpcc")
-    return s.execute('SELECT o.o_w_id AS w, COUNT(*) AS lines FROM "order" AS o JOIN order_line AS l ON o.o_w_id = l.ol_w_id AND o.o_d_id = l.ol_d_id AND o.o_id = l.ol_o_id GROUP BY o.o_w_id')
+    counts = [s.execute(f'SELECT COUNT(*) AS n FROM "{t}"').select(F.lit(t).alias("name"), "n") for t in tpcc.TABLES if t != "order_line"]
+    lines = s.execute("""SELECT o.o_id AS o, o.o_d_id AS d, o.o_w_id AS w, o.o_ol_cnt AS said FROM "order" AS o JOIN order_line AS l ON o.o_w_id = l.ol_w_id AND o.o_d_id = l.ol_d_id AND o.o_id = l.ol_o_id
+                         GROUP BY o.o_id, o.o_d_id, o.o_w_id, o.o_ol_cnt HAVING COUNT(*) = o.o_ol_cnt""")
+    return reduce(DataFrame.union, [*counts, lines.agg(F.count(F.lit(1)).alias("n")).select(F.lit("orders with their lines").alias("name"), "n")])
 
 
 def logic_test(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -274,10 +346,17 @@ CODE: dict[str, tuple[Callable[[SparkSession, str], DataFrame], str | None]] = {
     "index_read": (index_read, "SELECT n_nationkey::BIGINT AS id, n_name AS name FROM nation WHERE n_regionkey = 2"),
     "key_read": (key_read, "SELECT n_nationkey::BIGINT AS id, n_name AS name, n_regionkey::BIGINT AS region, 7::BIGINT AS hits FROM nation WHERE n_nationkey = 5"),
     "show_tables": (show_tables, "SELECT 'copy' AS tables"),
-    "show_create_table": (show_create_table, None),
-    "explain": (explain, None),
+    "show_create_table": (show_create_table, "SELECT concat_ws(chr(10), 'CREATE TABLE copy (', '  id INTEGER PRIMARY KEY NOT NULL,', '  name TEXT NOT NULL,', '  region INTEGER,', '  hits INTEGER DEFAULT 7', ');') AS create_table_stmt"),
+    "explain": (explain, "SELECT * FROM (VALUES ('logical plan', FALSE, FALSE), ('physical plan', TRUE, TRUE)) v(type, filter_in_scan, columns_pruned)"),
+    "index_scan_grouped": (index_scan_grouped, "SELECT CASE WHEN c_custkey % 10 <> 0 THEN c_mktsegment END AS segment, count(*) AS rows_of_key, min(c_custkey)::BIGINT AS first_id, sum(c_custkey)::BIGINT AS ids FROM customer GROUP BY ALL"),
+    "refused": (refused, """SELECT * FROM (VALUES (0::BIGINT, 'AlreadyExistsError'), (1, 'AlreadyExistsError'), (2, 'AlreadyExistsError'), (3, 'AlreadyExistsError'), (4, 'AlreadyExistsError'), (5, 'ValueFault'), (6, 'AlreadyExistsError'), (7, 'AlreadyExistsError')) v(k, what)
+        UNION ALL SELECT n_nationkey::BIGINT, n_name FROM nation"""),
+    "mvcc_conflict": (mvcc_conflict, """SELECT * FROM (VALUES (-1::BIGINT, 'refused', 0::BIGINT), (-2, 'refused', 0), (-3, 'refused', 0), (-4, 'done', 0), (700, 'mine', 7)) v(id, name, hits)
+        UNION ALL SELECT n_nationkey::BIGINT, n_name, CASE n_regionkey WHEN 0 THEN 1 WHEN 1 THEN 3 ELSE 7 END::BIGINT FROM nation"""),
+    "drops": (drops, "SELECT 1::BIGINT AS id, 2 * count(*) AS before FROM nation"),
     "check": (check, "SELECT 'SELECT a.x, count(*) AS n FROM t AS a WHERE NOT (a.x = 1) GROUP BY a.x OFFSET 2 LIMIT 3' AS parsed_sql"),
-    "dataset_tpcc": (dataset_tpcc, None),
+    "dataset_tpcc": (dataset_tpcc, """SELECT * FROM (VALUES ('warehouse', 10::BIGINT), ('district', 100), ('customer', 10000), ('history', 10000), ('order', 10000), ('new_order', 3000), ('item', 10000), ('stock', 100000),
+        ('orders with their lines', 10000)) v(name, n)"""),
     "logic_test": (logic_test, "SELECT * FROM (VALUES (1, TRUE), (4, TRUE), (7, TRUE), (13, TRUE)) v(line, ok)"),
 }
 

@@ -13,7 +13,7 @@ the changes, which are few as a rule.
 from __future__ import annotations
 
 import uuid
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass, replace
 from functools import reduce
 
@@ -57,12 +57,13 @@ class TxnManager:
                 return Transaction(self.store, TxnState(m["next_version"], True, tuple(m["active"])))
             if as_of >= m["next_version"] or as_of < 1:
                 raise ValueFault(f"there is no version {as_of}")
-            return Transaction(self.store, TxnState(as_of, True, tuple(m["snapshots"][str(as_of)])))
+            return Transaction(self.store, TxnState(as_of, True, tuple(m["snapshots"].get(str(as_of), ()))))
 
         def take(m: dict) -> TxnState:
             v, active = m["next_version"], tuple(m["active"])
             m["next_version"] = v + 1
-            m["snapshots"][str(v)] = list(active)
+            if active:
+                m["snapshots"][str(v)] = list(active)
             m["active"] = [*active, v]
             return TxnState(v, False, active)
 
@@ -132,11 +133,14 @@ class Transaction:
         if self.read_only:
             raise ReadOnlyError("the transaction is read only")
 
-    def put_table(self, name: str, table: TableDef | None) -> None:
-        """A new state of a table's definition; None drops it."""
+    def put_table(self, name: str, table: TableDef | None, quiet: bool = False) -> None:
+        """A new state of a table's definition; None drops it. quiet: refused where another transaction wrote rows that
+        this one can't see."""
         self._writable()
 
         def put(m: dict) -> None:
+            if quiet and table and any(w["table"] == table.id and not self.state.sees(w["version"]) for w in m["writes"]):
+                raise SerializationError(f"rows of {name} were written by a concurrent transaction")
             for c in m["catalog"]:
                 if c["name"] == name and not self.state.sees(c["version"]):
                     raise SerializationError(f"table {name} was changed by version {c['version']}")
@@ -158,8 +162,8 @@ class Transaction:
         self._writable()
         new = table.with_index(index)
         if index.unique:
-            self._unique(self.snapshot(table), index)
-        self.put_table(table.name, new)
+            self._refuse([self._twice(self.snapshot(table), index)])
+        self.put_table(table.name, new, quiet=index.unique)
         return new
 
     # --- rows
@@ -189,7 +193,10 @@ class Transaction:
 
     def snapshot(self, table: TableDef) -> DataFrame:
         """The rows that the transaction sees."""
-        seen = [w for w in self._writes(table) if self.state.sees(w["version"])]
+        return self._visible(table, self._writes(table))
+
+    def _visible(self, table: TableDef, writes: list[dict]) -> DataFrame:
+        seen = [w for w in writes if self.state.sees(w["version"])]
         names = [c.name for c in table.columns]
         added = self._read(table, [w for w in seen if w["kind"] == "insert"])
         changed = [w for w in seen if w["kind"] == "change"]
@@ -235,49 +242,78 @@ class Transaction:
         entry = {"table": table.id, "version": self.version, "seq": seq, "kind": kind, "path": path, "columns": [c.id for c in table.columns]}
         return entry, self._read(table, [entry])
 
-    def _adopt(self, entry: dict) -> None:
-        self.store.change(lambda m: m["writes"].append(entry))
+    def _adopt(self, table: TableDef, entry: dict, known: set[str]) -> list[dict]:
+        """Takes the folder into the state, if all the table's folders there are known. Else returns the others."""
+
+        def take(m: dict) -> list[dict]:
+            new = [w for w in m["writes"] if w["table"] == table.id and w["path"] not in known]
+            later = [TableDef.from_json(c["table"]) for c in m["catalog"] if c["name"] == table.name and c["table"] and not self.state.sees(c["version"])]
+            mine = {i.columns for i in table.indexes if i.unique}
+            if any(i.columns not in mine for t in later if t.id == table.id for i in t.indexes if i.unique):
+                raise SerializationError(f"a concurrent transaction gave {table.name} a unique index")
+            if not new:
+                m["writes"].append(entry)
+            return new
+
+        return self.store.change(take)
 
-    def _refuse(self, bad: DataFrame, error: Exception) -> None:
-        if bad.limit(1).count():
-            raise error
+    @staticmethod
+    def _unique_of(table: TableDef) -> list[IndexDef]:
+        unique = [IndexDef(f"{c.name}", (c.name,), True) for c in table.columns if c.unique] + [i for i in table.indexes if i.unique]
+        return list({i.columns: i for i in unique}.values())
 
-    def _unique(self, rows: DataFrame, index: IndexDef) -> None:
+    @staticmethod
+    def _twice(rows: DataFrame, index: IndexDef) -> tuple[DataFrame, Exception]:
         whole = reduce(lambda a, b: a & b, (_c(c).isNotNull() for c in index.columns))
         twice = rows.where(whole).groupBy(*map(_c, index.columns)).count().where("count > 1")
-        self._refuse(twice, AlreadyExistsError(f"a value of unique index {index.name} is there twice"))
+        return twice, AlreadyExistsError(f"a value of unique index {index.name} is there twice")
 
-    def _check(self, table: TableDef, entry: dict, staged: DataFrame, replaced: DataFrame | None) -> None:
-        """Constraints and conflicts of staged rows. replaced: keys whose rows they take the place of."""
+    def _faults(self, table: TableDef, staged: DataFrame, replaced: DataFrame | None, writes: list[dict]) -> Iterator[tuple[DataFrame, Exception]]:
+        """Rows that must not be, with the error that each kind of them is, in order of precedence. replaced: keys whose
+        rows the staged ones take the place of."""
         live = staged.where(f"NOT {GONE}")
-        must = [c.name for c in table.columns if not c.nullable or c.name in table.key]
-        empty = reduce(lambda a, b: a | b, (_c(c).isNull() for c in must))
-        self._refuse(live.where(empty), ValueFault(f"NULL in a NOT NULL column of {table.name} ({', '.join(must)})"))
         key = list(table.key)
-        self._refuse(live.groupBy(*map(_c, key)).count().where("count > 1"), AlreadyExistsError(f"a key of {table.name} is there twice"))
-        before = self.snapshot(table)
+        must = [c.name for c in table.columns if not c.nullable or c.name in key]
+        empty = reduce(lambda a, b: a | b, (_c(c).isNull() for c in must))
+        yield live.where(empty), ValueFault(f"NULL in a NOT NULL column of {table.name} ({', '.join(must)})")
+        yield live.groupBy(*map(_c, key)).count().where("count > 1"), AlreadyExistsError(f"a key of {table.name} is there twice")
+        before = self._visible(table, writes)
         if replaced is not None:
             before = before.join(replaced, key, "left_anti")
-        self._refuse(live.join(before.select(*map(_c, key)), key, "left_semi"), AlreadyExistsError(f"a key of {table.name} is there already"))
-        unique = [IndexDef(f"{c.name}", (c.name,), True) for c in table.columns if c.unique] + [i for i in table.indexes if i.unique]
-        for i in {i.columns: i for i in unique}.values():
-            self._unique(before.select(*map(_c, i.columns)).union(live.select(*map(_c, i.columns))), i)
-        hidden = [w for w in self._writes(table) if not self.state.sees(w["version"])]
+        yield live.join(before.select(*map(_c, key)), key, "left_semi"), AlreadyExistsError(f"a key of {table.name} is there already")
+        for i in self._unique_of(table):
+            yield self._twice(before.select(*map(_c, i.columns)).union(live.select(*map(_c, i.columns))), i)
+
+    def _conflicts(self, table: TableDef, staged: DataFrame, writes: list[dict]) -> Iterator[tuple[DataFrame, Exception]]:
+        """Rows whose key or unique value stands in folders that the transaction can't see: the first writer wins."""
+        hidden = [w for w in writes if not self.state.sees(w["version"])]
         if hidden:
             others = self._read(table, hidden)
-            for cols in [key, *(list(i.columns) for i in unique)]:
-                self._refuse(staged.join(others.select(*map(_c, cols)), cols, "left_semi"), SerializationError(f"rows of {table.name} were written by a concurrent transaction"))
-        del entry
+            for cols in [list(table.key), *(list(i.columns) for i in self._unique_of(table))]:
+                yield staged.join(others.select(*map(_c, cols)), cols, "left_semi"), SerializationError(f"rows of {table.name} were written by a concurrent transaction")
+
+    def _refuse(self, faults: Iterable[tuple[DataFrame, Exception]]) -> None:
+        """Raises the first error of those that have rows. All are looked for in one job."""
+        found = list(faults)
+        if not found:
+            return
+        marks = reduce(DataFrame.union, (bad.limit(1).select(F.lit(k).alias("k")) for k, (bad, _) in enumerate(found)))
+        if (first := marks.agg(F.min("k")).first()[0]) is not None:
+            raise found[first][1]
 
     def _write(self, table: TableDef, rows: DataFrame, kind: str, replaced: DataFrame | None = None) -> DataFrame:
         self._writable()
         entry, staged = self._stage(table, rows, kind)
         try:
-            self._check(table, entry, staged, replaced)
+            writes = self._writes(table)
+            self._refuse([*self._faults(table, staged, replaced, writes), *self._conflicts(table, staged, writes)])
+            known = {w["path"] for w in writes}
+            while new := self._adopt(table, entry, known):  # written while this was checked: checked against it, too
+                self._refuse(self._conflicts(table, staged, new))
+                known |= {w["path"] for w in new}
         except Exception:
             self.store.remove(entry["path"])
             raise
-        self._adopt(entry)
         return staged
 
     def insert(self, table: TableDef, rows: DataFrame) -> int:
