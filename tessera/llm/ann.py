@@ -3,7 +3,8 @@
 Equal vectors are one entry with an id of its own; its rows of one vec_id are a class, with their number. An entry keeps
 the classes of its smallest vec_ids: as many as can stand in a result. So a vector copied a million times is searched
 for once and found once. Coarse centroids and codebooks are fitted on a
-bounded sample (`sample` entries); every entry is indexed. A query looks into the lists of its nearest centroids: an
+bounded sample (`sample` entries); every entry is indexed. A query looks into the lists of its nearest centroids, as far as
+it takes in the sample to find the wanted part of neighbours, measured by the query's own surroundings: an
 asymmetric distance table ranks a block of a list by code, and the best of the block are ranked again by exact
 distances, in double precision, to the original vectors. Lists and their queries are dealt in blocks of bounded rows.
 
@@ -28,8 +29,12 @@ from pyspark.sql import functions as F
 
 from .common import documents, prepare, save
 
+#: Entries that centroids and codebooks are fitted on: SAMPLE, or more for many lists, up to MOST_SAMPLED.
 SAMPLE = 20_000
-MAX_LISTS = 4096
+MOST_SAMPLED = 320_000
+CODEBOOK_ROWS = 20_000
+#: Centroids beyond which k-means goes in two levels.
+FLAT = 512
 BLOCK_ROWS = 4096
 BLOCK_QUERIES = 512
 RERANK = 100
@@ -42,17 +47,23 @@ def usable(v: Column) -> Column:
 
 
 def kmeans(x, k: int, rounds: int = 12, seed: int = 3):
-    """Centroids of x, by Lloyd's rounds from distinct rows; an empty cluster moves to the worst-placed row."""
+    """Centroids of x, by Lloyd's rounds from distinct rows; an empty cluster moves to the worst-placed row. For many
+    centroids, rows are first clustered by the root of k, and then each cluster by itself."""
     import numpy as np
 
     rng = np.random.default_rng(seed)
+    if k > FLAT:
+        near, _ = nearest(x, kmeans(x, round(math.sqrt(k)), rounds, seed))
+        groups = [np.flatnonzero(near == j) for j in np.unique(near)]
+        share = [max(1, round(k * len(g) / len(x))) for g in groups]
+        return np.concatenate([kmeans(x[g], min(n, len(g), FLAT), rounds, seed) for g, n in zip(groups, share, strict=True)])
     c = x[rng.permutation(len(x))[:k]].copy()
     for _ in range(rounds):
         near, dist = nearest(x, c)
+        order = np.argsort(near, kind="stable")
+        some, first = np.unique(near[order], return_index=True)
         n = np.bincount(near, minlength=len(c))
-        total = np.zeros_like(c)
-        np.add.at(total, near, x)
-        c = np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], c)
+        c[some] = np.add.reduceat(x[order], first, axis=0) / n[some, None]
         for j, far in zip(np.flatnonzero(n == 0), np.argsort(-dist), strict=False):
             c[j] = x[far]
     return c
@@ -70,39 +81,56 @@ def nearest(x, c):
     return near, dist
 
 
-def fit_index(sample, n: int, parts: int = 16, max_lists: int = MAX_LISTS) -> dict:
-    """Coarse centroids and residual codebooks. The number of lists is about the root of n, within max_lists."""
+def lists_for(n: int, sample: int) -> int:
+    """Lists for n entries: twice the root, so that a query that looks into a fixed number of them sees a share of the
+    entries that falls with the root of n; and eight sampled entries a list at least."""
+    return max(1, min(round(2 * math.sqrt(n)), sample // 8))
+
+
+def fit_index(sample, n: int, parts: int = 16) -> dict:
+    """Coarse centroids and residual codebooks."""
     import numpy as np
 
     x = np.asarray(sample, "f4")
-    lists = max(1, min(max_lists, round(math.sqrt(n)), len(x)))
-    coarse = kmeans(x, lists)
+    coarse = kmeans(x, lists_for(n, len(x)))
     near, _ = nearest(x, coarse)
-    rest = x - coarse[near]
+    some = np.random.default_rng(5).permutation(len(x))[:CODEBOOK_ROWS]
+    rest = x[some] - coarse[near[some]]
     parts = math.gcd(parts, x.shape[1])
     width = x.shape[1] // parts
-    books = [kmeans(rest[:, p * width : (p + 1) * width], min(256, len(x)), 6) for p in range(parts)]
+    books = [kmeans(rest[:, p * width : (p + 1) * width], min(256, len(rest)), 6) for p in range(parts)]
     return {"coarse": coarse, "books": books, "width": width}
 
 
-def probe_share(sample, model: dict, k: int, target: float, queries: int = 200) -> float:
-    """The share of lists that holds `target` of the k nearest neighbours, as queries drawn from the sample find them
-    in the sample by brute force."""
+def list_distances(x, coarse):
+    """Squared distances of rows to all centroids, over that to the nearest few: what is near by the measure of the row's
+    own surroundings, be they dense or sparse."""
+    import numpy as np
+
+    x, coarse = np.asarray(x, "f8"), coarse.astype("f8")
+    d = np.maximum((x * x).sum(axis=1)[:, None] + (coarse * coarse).sum(axis=1) - 2 * (x @ coarse.T), 0)
+    few = min(4, d.shape[1])
+    return d / np.maximum(np.partition(d, few - 1, axis=1)[:, :few].mean(axis=1, keepdims=True), 1e-12)
+
+
+def reach(sample, model: dict, k: int, target: float, n: int, queries: int = 400) -> float:
+    """How far a query looks, as list_distances measure, to find `target` of its k nearest neighbours among n: found by
+    brute force in the sample for queries drawn from it. The k nearest of n are as near as the first of k * sample / n
+    there, or nearer."""
     import numpy as np
 
     x = np.asarray(sample, "f4")
     if len(x) < 2:
-        return 1.0
-    c, home = model["coarse"], nearest(x, model["coarse"])[0]
-    places = []
+        return math.inf
+    k = math.ceil(k * len(x) / max(n, len(x)))
+    home = nearest(x, model["coarse"])[0]
+    far = []
     for q in range(0, len(x), max(1, len(x) // queries)):
         d = ((x - x[q]) ** 2).sum(axis=1)
         d[q] = np.inf
-        near = np.argsort(d, kind="stable")[: min(k, len(x) - 1)]
-        order = np.empty(len(c), "i8")
-        order[np.argsort(((c - x[q]) ** 2).sum(axis=1), kind="stable")] = np.arange(len(c))
-        places.append(order[home[near]])
-    return float(np.quantile(np.concatenate(places), target) + 1) / len(c)
+        near = np.argpartition(d, min(k, len(x) - 1) - 1)[: min(k, len(x) - 1)]
+        far.append(list_distances(x[q : q + 1], model["coarse"])[0][home[near]])
+    return float(np.quantile(np.concatenate(far), target))
 
 
 def encode_vectors(x, model: dict):
@@ -133,23 +161,23 @@ def _index(batches: Iterator, model) -> Iterator:
         yield pa.record_batch([b.column(0), b.column(1), pa.array(near.astype("i4")), pa.array([c.tobytes() for c in codes], pa.binary()), b.column(2)], ["entry", "vec", "list", "code", "lead"])
 
 
-def _probe(batches: Iterator, model, probes: list[int]) -> Iterator:
-    """Queries with the lists to look into: the nearest that together have enough entries."""
+def _probe(batches: Iterator, model, far: float, least: int, sizes: list[int]) -> Iterator:
+    """Queries with the lists to look into: those within reach, and the nearest that together have enough entries."""
     import numpy as np
     import pyarrow as pa
 
-    coarse = model.value["coarse"].astype("f8")
-    probe, least, sizes = probes[0], probes[1], np.array(probes[2:])
+    sizes = np.array(sizes)
     for b in batches:
         x = _rows(b.column(1))
         if not len(x):
             continue
-        d = (coarse * coarse).sum(axis=1) - 2 * (x @ coarse.T)
-        order = np.argsort(d, axis=1, kind="stable")
-        held = np.cumsum(sizes[order], axis=1)
-        need = np.maximum(probe, (held < least).sum(axis=1) + 1)
-        lists = [o[:n].tolist() for o, n in zip(order, need, strict=True)]
-        yield pa.record_batch([b.column(0), b.column(1), pa.array(lists, pa.list_(pa.int32()))], ["entry", "vec", "lists"])
+        for at in range(0, len(x), 256):
+            d = list_distances(x[at : at + 256], model.value["coarse"])
+            order = np.argsort(d, axis=1, kind="stable")
+            held = np.cumsum(sizes[order], axis=1)
+            need = np.maximum((d <= far).sum(axis=1), (held < least).sum(axis=1) + 1)
+            lists = [o[:n].tolist() for o, n in zip(order, need, strict=True)]
+            yield pa.record_batch([b.column(0).slice(at, 256), b.column(1).slice(at, 256), pa.array(lists, pa.list_(pa.int32()))], ["entry", "vec", "lists"])
 
 
 def _search(left, right, model, keep: int, rerank: int):
@@ -158,32 +186,38 @@ def _search(left, right, model, keep: int, rerank: int):
     import numpy as np
     import pyarrow as pa
 
-    out: list = [[], [], [], []]
+    out: list[list] = [[], [], [], []]
     if left.num_rows and right.num_rows:
         m = model.value
-        x = _rows(left.column("vec").combine_chunks())
-        ids, lead = left.column("entry").to_numpy(), left.column("lead").to_numpy()
+        x, asked = _rows(left.column("vec").combine_chunks()), _rows(right.column("vec").combine_chunks())
+        ids, lead, who = left.column("entry").to_numpy(), left.column("lead").to_numpy(), right.column("entry").to_numpy()
         codes = np.frombuffer(b"".join(left.column("code").to_pylist()), "u1").reshape(len(ids), -1)
         centre, w = m["coarse"][left.column("list")[0].as_py()], m["width"]
-        for q, v in zip(right.column("entry").to_pylist(), _rows(right.column("vec").combine_chunks()), strict=True):
-            rest = v - centre
-            tables = [((b - rest[p * w : (p + 1) * w]) ** 2).sum(axis=1) for p, b in enumerate(m["books"])]
-            about = sum(t[codes[:, p]] for p, t in enumerate(tables))
-            best = np.argpartition(about, rerank)[:rerank] if len(about) > rerank else np.arange(len(about))
-            exact = np.sqrt(((x[best] - v) ** 2).sum(axis=1))
-            top = np.lexsort((ids[best], lead[best], exact))[:keep]
-            out[0] += [q] * len(top)
-            out[1] += ids[best][top].tolist()
-            out[2] += lead[best][top].tolist()
-            out[3] += exact[top].tolist()
-    return pa.table([pa.array(out[0], pa.int64()), pa.array(out[1], pa.int64()), pa.array(out[2], pa.int64()), pa.array(out[3], pa.float64())], names=["q", "entry", "lead", "score"])
-
-
-def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMPLE, recall: float = 0.97, rerank: int = RERANK, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
+        for at in range(0, len(asked), 32):
+            v = asked[at : at + 32]
+            best = np.broadcast_to(np.arange(len(ids)), (len(v), len(ids)))
+            if len(ids) > rerank:
+                rest, about = v - centre, np.zeros((len(v), len(ids)))
+                for p, book in enumerate(m["books"]):
+                    table = (book * book).sum(axis=1) - 2 * (rest[:, p * w : (p + 1) * w] @ book.T)
+                    about += table[:, codes[:, p]]
+                best = np.argpartition(about, rerank, axis=1)[:, :rerank]
+            exact = np.sqrt(((x[best] - v[:, None, :]) ** 2).sum(axis=2))
+            for k in range(len(v)):
+                top = np.lexsort((ids[best[k]], lead[best[k]], exact[k]))[:keep]
+                out[0].append(np.full(len(top), who[at + k]))
+                out[1].append(ids[best[k]][top])
+                out[2].append(lead[best[k]][top])
+                out[3].append(exact[k][top])
+    cols = [pa.array(np.concatenate(c), t) if c else pa.array([], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
+    return pa.table(cols, names=["q", "entry", "lead", "score"])
+
+
+def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int | None = None, recall: float = 0.97, rerank: int = RERANK, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
     """query_id, rank, vec_id and score: the k nearest rows found for each row where is_query holds (a condition on
     vec_id), the row itself and its copies left out.
 
-    recall: queries look into as large a share of the lists as finds this part of the neighbours in the sample."""
+    recall: queries look as far as finds this part of the neighbours in the sample. sample: the most entries to fit on."""
     spark = vectors.sparkSession
     prepare(spark)
     src = vectors.select(F.col(key).cast("long").alias("vec_id"), F.col(vector).cast("array<double>").alias("vec")).where(F.col("vec_id").isNotNull() & usable(F.col("vec")))
@@ -200,21 +234,20 @@ def search(vectors: DataFrame, is_query: Column, k: int = 10, sample: int = SAMP
     queries = rows.where(is_query).select(F.col("vec_id").alias("query_id"), "same").distinct()
     if not n:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
-    picked = entries.select("vec", F.xxhash64("lead").alias("h"), "lead", "same").orderBy("h", "lead", "same").limit(sample).select("vec").toArrow()
+    picked = entries.select("vec", F.xxhash64("lead").alias("h"), "lead", "same").orderBy("h", "lead", "same").limit(sample or min(MOST_SAMPLED, max(SAMPLE, round(64 * math.sqrt(n))))).select("vec").toArrow()
     drawn = _rows(picked.column(0).combine_chunks())
     fitted = fit_index(drawn, n)
-    share = probe_share(drawn, fitted, k, recall)
-    model = spark.sparkContext.broadcast(fitted)  # bounded by sample and MAX_LISTS
+    far = reach(drawn, fitted, k, recall, n)
+    model = spark.sparkContext.broadcast(fitted)  # bounded by the sample
     index = save(entries.select("entry", "vec", "lead").mapInArrow(lambda it: _index(it, model), "entry long, vec array<double>, list int, code binary, lead long"), "index")
     sizes = {r.list: r.n for r in index.groupBy("list").agg(F.count(F.lit(1)).alias("n")).collect()}  # one row a list
-    lists = len(model.value["coarse"])
-    probes = [min(lists, max(8, math.ceil(share * lists))), k + 1, *(sizes.get(j, 0) for j in range(lists))]
+    held = [sizes.get(j, 0) for j in range(len(fitted["coarse"]))]
     asked = queries.select("same").distinct().join(entries, "same").select("entry", "vec")
-    asked = asked.mapInArrow(lambda it: _probe(it, model, probes), "entry long, vec array<double>, lists array<int>").select("entry", "vec", F.explode("lists").alias("list"))
+    asked = asked.mapInArrow(lambda it: _probe(it, model, far, k + 1, held), "entry long, vec array<double>, lists array<int>").select("entry", "vec", F.explode("lists").alias("list"))
     asked = save(asked, "probes")
     blocks = index.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_ROWS).cast("int").alias("blocks"))
     groups = asked.groupBy("list").agg(F.ceil(F.count(F.lit(1)) / BLOCK_QUERIES).cast("int").alias("groups"))
-    plan = F.broadcast(blocks.join(groups, "list"))  # one row a list, MAX_LISTS at most
+    plan = F.broadcast(blocks.join(groups, "list"))  # one row a list
     left = index.join(plan, "list").withColumn("block", F.pmod(F.xxhash64("entry"), F.col("blocks")).cast("int")).withColumn("group", F.explode(F.sequence(F.lit(0), F.col("groups") - 1)))
     right = asked.join(plan, "list").withColumn("group", F.pmod(F.xxhash64("entry"), F.col("groups")).cast("int")).withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     by = ("list", "block", "group")

@@ -147,3 +147,32 @@ def test_few_vectors(spark):
     assert got == {0: [(1, 2, 1.0), (2, 1, 2**0.5)]}
     assert search(spark, [(0, [1.0, 0.0])]) == {}
     assert search(spark, []) == {}
+
+
+def test_queries_look_into_few_lists():
+    """100,000 vectors around 1500 points, and as many on a curved 12-dimensional surface: recall of the lists probed."""
+    rng = np.random.default_rng(1)
+    around = rng.normal(size=(1500, 32))
+    sets = [around[rng.integers(0, 1500, 100_000)] + 0.4 * rng.normal(size=(100_000, 32)), np.tanh(rng.normal(size=(100_000, 12)) @ rng.normal(size=(12, 32)) / 4)]
+    for x in sets:
+        x = x.astype("f4")
+        sample = x[rng.permutation(len(x))[: ann.SAMPLE]]
+        model = ann.fit_index(sample, len(x))
+        far = ann.reach(sample, model, 10, 0.97, len(x))
+        home = ann.nearest(x, model["coarse"])[0]
+        found, probed = [], []
+        for q in range(0, len(x), 1000):
+            d = ((x - x[q]) ** 2).sum(axis=1)
+            d[q] = np.inf
+            look = ann.list_distances(x[q : q + 1], model["coarse"])[0] <= far
+            found.append(look[home[np.argpartition(d, 10)[:10]]].mean())
+            probed.append(look.mean())
+        assert np.mean(found) >= 0.9 and np.mean(probed) <= 0.2
+    assert ann.lists_for(10**8, ann.MOST_SAMPLED) > 4 * 4096
+
+
+def test_two_levels_of_centroids():
+    x = np.random.default_rng(2).normal(size=(9000, 4)).astype("f4")
+    many = ann.kmeans(x, ann.FLAT * 3)
+    assert 0.9 * ann.FLAT * 3 <= len(many) <= 1.1 * ann.FLAT * 3 and np.isfinite(many).all()
+    assert ann.nearest(x, many)[1].mean() < 0.5 * ann.nearest(x, ann.kmeans(x, 64))[1].mean()
