@@ -32,6 +32,8 @@ from .common import crc32_join, new_path, parallelism, prepare, span_tokenizer,
 
 BLOCK_IDS = 1 << 16
 SHARD_DOCS = 50_000
+#: Shards, and so the quantiles that the driver asks for and their sketch, stay below this; larger corpora have larger shards.
+MOST_SHARDS = 8192
 CHUNK_DDL = (
     "shard int, chunk int, first_id long, n_ids int, mode string, planes array<binary>, crc32 long, "
     "doc_ids array<long>, doc_seqs array<long>, doc_offsets array<int>, doc_lengths array<int>"
@@ -142,7 +144,7 @@ def write_tokens(
 ) -> None:
     """Encodes docs and writes the container to path, in ascending order of key.
 
-    Shards hold about shard_docs documents (fewer where the session has more shuffle partitions than that makes). Ids
+    Shards hold about shard_docs documents (more where that makes over MOST_SHARDS of them, fewer where the session has more shuffle partitions than that makes). Ids
     cross the network once, two bytes each where the vocabulary allows it."""
     spark = docs.sparkSession
     prepare(spark)
@@ -151,7 +153,7 @@ def write_tokens(
     width = max(vocabulary_width(tokenizer), 2 if end_id < 1 << 16 else 4)
     src = docs.select(F.col(key).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     n = docs.select(F.count(F.lit(1))).first()[0]
-    shards = max(1, math.ceil(n / shard_docs), min(parallelism(spark), math.ceil(n / 500)))
+    shards = min(MOST_SHARDS, max(1, math.ceil(n / shard_docs), min(parallelism(spark), math.ceil(n / 500))))
     bounds = shard_bounds(src, "doc_id", shards)
     encoded = src.mapInArrow(lambda it: _encode(it, tokenizer, spans, width, end_id, bounds), "shard int, doc_id long, ids binary")
     placed = encoded.repartitionById(len(bounds) + 1, F.col("shard")).sortWithinPartitions("shard", F.col("doc_id").asc_nulls_first(), "ids")
@@ -164,7 +166,7 @@ def _read_blocks(batches: Iterator, with_ids: bool) -> Iterator:
 
     for b in batches:
         out: dict[str, list] = {k: [] for k in ("shard", "seq", "doc_id", "first", "n", "crc", "ids")}
-        for r in b.to_pylist():
+        for r in (r for at in range(0, b.num_rows, 16) for r in b.slice(at, 16).to_pylist()):  # blocks are large
             ids = from_planes(r["planes"], r["n_ids"], r["mode"])
             if zlib.crc32(ids.tobytes()) != r["crc32"]:
                 raise ValueError(f"block {r['chunk']} of shard {r['shard']} is damaged")
