@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import re
+import sys
 import tempfile
 import uuid
 import zipfile
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 from pathlib import Path
@@ -17,7 +19,7 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 #: Rows and bytes in an Arrow batch, at most: documents can be long.
-ARROW_ROWS = 4096
+ARROW_ROWS = 1000
 ARROW_BYTES = 8 << 20
 
 _local_root: dict[str, str] = {}
@@ -187,21 +189,29 @@ class SpanTokenizer:
         self.spans, self.drops_space = {"byte": (BYTE_SPANS, False), "word": (WORD_SPANS, True)}[kind]
         self.lead = "" if self.drops_space else " "
         self.width, self.cap, self.dtype = width, cap, f"<u{width}"
+        self.kind = {2: "H", 4: "I"}[width]
         self.alphabet = _byte_alphabet()
+        self.space = "" if self.drops_space else self.alphabet[ord(" ")]
         self.seen, self.old = _Seen(self._learn), {}  # pieces after a space, or of a tokenizer that drops spaces
         self.bare = _Seen(self._encode)  # spans without a space before them
 
+    def _packed(self, ids: list[int]) -> bytes:
+        out = array(self.kind, ids)
+        if sys.byteorder == "big":
+            out.byteswap()
+        return out.tobytes()
+
     def _encode(self, span: str) -> bytes:
         if _RUN.fullmatch(span):
             word = span.lower() if self.drops_space else span
-            got = [t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))]
-        else:
-            got = self.tok.encode(span, add_special_tokens=False).ids
-        return b"".join(i.to_bytes(self.width, "little") for i in got)
+            return self._packed([t.id for t in self.model.tokenize(word.encode().decode("latin-1").translate(self.alphabet))])
+        return self._packed(self.tok.encode(span, add_special_tokens=False).ids)
 
     def _learn(self, piece: str) -> bytes:
         if (ids := self.old.get(piece)) is not None:
             return ids
+        if piece.isascii() and piece.isalpha():  # one run of letters, each spelled as itself
+            return self._packed([t.id for t in self.model.tokenize(self.space + (piece.lower() if self.drops_space else piece))])
         spans = self.spans.findall(self.lead + piece)
         if len(spans) == 1:
             return self._encode(spans[0])
