@@ -113,6 +113,46 @@ def test_recall(spark):
     assert hits / 3000 >= 0.9
 
 
+def other_rows():
+    """Rows unlike those of the test tables: (name, vectors), every tenth a query."""
+    rng = np.random.default_rng(4)
+    apart, between = vectors(3000, 32, clusters=60), vectors(3000, 32, clusters=60)
+    apart[::10] = 1.2 * rng.normal(size=(300, 32))
+    between[::10] = (between[1::10] + between[rng.permutation(300) * 10 + 2]) / 2
+    yield "queries apart from the rest", apart
+    yield "queries between the rest", between
+    yield "large components", vectors(3000, 32) * np.float32(1e20)
+    yield "small components", vectors(3000, 32) * np.float32(1e-25)
+    yield "rows of every size", rng.normal(size=(3000, 32)) * np.exp(3 * rng.normal(size=(3000, 1)))
+    yield "two places far from zero", vectors(3000, 32) + np.where(rng.random((3000, 1)) < 0.5, 1e5, -1e5)
+
+
+@pytest.mark.parametrize("name, x", list(other_rows()))
+def test_recall_on_other_rows(spark, name, x):
+    x = x.astype("f4")
+    got = search(spark, [(i, v.tolist()) for i, v in enumerate(x)])
+    hits = [len({i for _, i, _ in got[q]} & {i for i, _ in brute(np.arange(3000), x, q, 10)}) for q in range(0, 3000, 10)]
+    assert np.mean(hits) >= 9
+
+
+@pytest.mark.parametrize("dim", [1, 17, 61])
+def test_nothing_is_missed_in_a_list(spark, dim):
+    """Many entries a list, few of them ranked again by code, tight groups beside wide ones, lengths that sixteen parts don't divide."""
+    x = vectors(2000, dim)
+    x[::2] = x[0] + 1e-3 * vectors(1000, dim, 1)
+    got = search(spark, [(i, v.tolist()) for i, v in enumerate(x)], sample=64, recall=1.0, rerank=12)
+    for q in range(0, 2000, 10):
+        assert [round(s, 9) for _, _, s in got[q]] == [round(s, 9) for _, s in brute(np.arange(2000), x, q, 10)]
+
+
+def test_distance_to_the_code():
+    x = vectors(500, 17)
+    model = ann.fit_index(x, len(x))
+    near, codes, err = ann.encode_vectors(x, model)
+    said = np.concatenate([b[codes[:, p]] for p, b in enumerate(model["books"])], axis=1)[:, :17] * model["scale"][near][:, None] + model["coarse"][near]
+    assert err == pytest.approx(np.sqrt(((x - said) ** 2).sum(axis=1)), rel=1e-6)
+
+
 def test_copies_and_odd_vectors(spark):
     """A third of all vectors are equal; results are exact where all lists are looked into."""
     x = vectors(300, 8)
