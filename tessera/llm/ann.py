@@ -291,7 +291,7 @@ def _search(left, right, model, keep: int, rerank: int):
         for at in range(0, len(asked), 32):
             v = asked[at : at + 32]
             best = np.broadcast_to(np.arange(len(ids)), (len(v), len(ids)))
-            more = [best[0][:0]] * len(v)
+            more = None
             if len(ids) > rerank:
                 rest, about = v - centre, np.zeros((len(v), len(ids)))
                 scaled = in_parts(rest / scale, w)
@@ -300,15 +300,19 @@ def _search(left, right, model, keep: int, rerank: int):
                     about += ((part * part).sum(axis=1)[:, None] + (book * book).sum(axis=1) - 2 * (part @ book.T))[:, codes[:, p]]
                 about = scale * np.sqrt(np.maximum(about, 0))
                 best = np.argpartition(about, rerank, axis=1)[:, :rerank]
-                more = _left_open(rest, y, size, about - err, best, np.sqrt(((x[best] - v[:, None, :]) ** 2).sum(axis=2)), keep)
+            exact = np.sqrt(((x[best] - v[:, None, :]) ** 2).sum(axis=2))
+            if len(ids) > rerank:
+                more = _left_open(rest, y, size, about - err, best, exact, keep)
             for k in range(len(v)):
-                some = np.concatenate([best[k], more[k]])
-                exact = np.sqrt(((x[some] - v[k]) ** 2).sum(axis=1))
-                top = np.lexsort((ids[some], lead[some], exact))[:keep]
+                some, near = best[k], exact[k]
+                if more and len(more[k]):
+                    some = np.concatenate([some, more[k]])
+                    near = np.concatenate([near, np.sqrt(((x[more[k]] - v[k]) ** 2).sum(axis=1))])
+                top = np.lexsort((ids[some], lead[some], near))[:keep]
                 out[0].append(np.full(len(top), who[at + k]))
                 out[1].append(ids[some][top])
                 out[2].append(lead[some][top])
-                out[3].append(exact[top])
+                out[3].append(near[top])
     cols = [pa.array(np.concatenate(c), t) if c else pa.array([], t) for c, t in zip(out, (pa.int64(), pa.int64(), pa.int64(), pa.float64()), strict=True)]
     return pa.table(cols, names=["q", "entry", "lead", "score"])
 
