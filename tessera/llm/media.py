@@ -22,14 +22,14 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
-from .common import documents, new_path, prepare
+from .common import ARROW_BYTES, ARROW_ROWS, documents, new_path, prepare
 
 LEAST, MOST, MASK_BITS = 256, 8192, 10
 BLOOM_BITS = 1 << 26
@@ -181,28 +181,44 @@ def _verified(digest: bytes, part: bytes) -> bytes:
     return part
 
 
-def _rebuild(batches: Iterator) -> Iterator:
-    """(doc_id, n_bytes, recipe, shared, body, parts: the distinct shared chunks) to (doc_id, n_bytes, recipe, payload)."""
-    import pyarrow as pa
-
+def _media(batches: Iterator) -> Iterator[tuple[int | None, int, bytes, bytes]]:
+    """(doc_id, n_bytes, recipe, payload) of (doc_id, n_bytes, recipe, shared, body, parts: the distinct shared chunks),
+    a medium at a time: one of few chunks that come again and again is far longer than what it is put together from."""
     for b in batches:
-        out = []
-        for recipe, shared, body, parts in zip(*(b.column(k).to_pylist() for k in (2, 3, 4, 5)), strict=True):
-            got = {p["digest"]: p["payload"] for p in parts or ()}
+        for doc, n_bytes, recipe, shared, body, parts in zip(*b.columns, strict=True):
+            recipe, body = recipe.as_py(), body.as_py()
+            got = {p["digest"]: _verified(p["digest"], p["payload"]) for p in parts.as_py() or ()}
             at, whole = 0, []
-            for k, held in enumerate(shared):
+            for k, held in enumerate(shared.as_py()):
                 digest, (n,) = recipe[20 * k : 20 * k + 16], struct.unpack_from("<I", recipe, 20 * k + 16)
                 if held:
-                    part = got[digest]
+                    whole.append(got[digest])
                 else:
-                    part, at = body[at : at + n], at + n
-                whole.append(_verified(digest, part))
-            out.append(b"".join(whole))
-        yield pa.record_batch([b.column(0), b.column(1), b.column(2), pa.array(out, pa.binary())], ["doc_id", "n_bytes", "recipe", "payload"])
+                    whole.append(_verified(digest, body[at : at + n]))
+                    at += n
+            yield doc.as_py(), n_bytes.as_py(), recipe, b"".join(whole)
+
+
+def _rebuild(batches: Iterator) -> Iterator:
+    """Media as they are, in batches of bounded bytes and rows."""
+    import pyarrow as pa
+
+    types = (pa.int64(), pa.int64(), pa.binary(), pa.binary())
+    pack = lambda rows: pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], ["doc_id", "n_bytes", "recipe", "payload"])
+    rows, size = [], 0
+    for r in _media(batches):
+        more = len(r[2]) + len(r[3])
+        if rows and (size + more > ARROW_BYTES or len(rows) >= ARROW_ROWS):
+            yield pack(rows)
+            rows, size = [], 0
+        rows.append(r)
+        size += more
+    yield pack(rows)
 
 
-def read_media(spark: SparkSession, path: str) -> DataFrame:
-    """doc_id, n_bytes, recipe and payload of all media, put together from the store.
+def read_media(spark: SparkSession, path: str, take: Callable[[Iterator], Iterator] = _rebuild, ddl: str = "doc_id long, n_bytes long, recipe binary, payload binary") -> DataFrame:
+    """doc_id, n_bytes, recipe and payload of all media, put together from the store. What goes over the payloads next
+    can take them from _media as `take`, with its own ddl: then they don't leave the worker that puts them together.
 
     Media without shared chunks are read where they lie. For the others digests go to the chunks, and come back with
     them to the medium; a list holds one medium's chunks."""
@@ -216,30 +232,35 @@ def read_media(spark: SparkSession, path: str) -> DataFrame:
     cols = ("doc_id", "n_bytes", "recipe", "shared", "body")
     none = media.where(~some).select(*cols, F.lit(None).cast("array<struct<digest: binary, payload: binary>>").alias("parts"))
     more = media.where(some).join(found, "uid").select(*cols, "parts")
-    ddl = "doc_id long, n_bytes long, recipe binary, payload binary"
-    return none.mapInArrow(_rebuild, ddl).union(more.mapInArrow(_rebuild, ddl))
+    return none.mapInArrow(take, ddl).union(more.mapInArrow(take, ddl))
 
 
 def feature(payload: bytes) -> str:
-    """Mean, deviation and the shares of eight equal value ranges of 8-bit samples."""
+    """Mean, deviation and the shares of eight equal value ranges of 8-bit samples, from a count of each value."""
     import numpy as np
 
-    x = np.frombuffer(payload, "u1")
-    shares = np.bincount(x >> 5, minlength=8) / len(x)
-    return f"mean={x.mean():.4f};std={x.std():.4f};hist=" + ",".join(f"{s:.4f}" for s in shares)
+    x, counts, values = np.frombuffer(payload, "u1"), np.zeros(256, "i8"), np.arange(256)
+    for lo in range(0, len(x), 1 << 20):  # counting takes 8 bytes a sample
+        counts += np.bincount(x[lo : lo + (1 << 20)], minlength=256)
+    mean = counts @ values / len(x)
+    std = np.sqrt(counts @ (values - mean) ** 2 / len(x))
+    return f"mean={mean:.4f};std={std:.4f};hist=" + ",".join(f"{s:.4f}" for s in counts.reshape(8, 32).sum(axis=1) / len(x))
+
+
+FEATURES_DDL = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def _features(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
+    types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
+    names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
     for b in batches:
         rows = []
-        for doc, n, recipe, payload in zip(*(b.column(k).to_pylist() for k in range(4)), strict=True):
+        for doc, n, recipe, payload in _media([b]):
             stored = hashlib.sha256(recipe)
             stored.update(payload)
             rows.append((doc, n, len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-64:]), len(recipe) + len(payload), stored.hexdigest(), feature(payload)))
-        types = (pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
-        names = ("doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature")
         yield pa.record_batch([pa.array([r[i] for r in rows], k) for i, k in enumerate(types)], list(names))
 
 
@@ -247,5 +268,4 @@ def op9_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents stored as media, read back and described. The stored form is the recipe and then its chunks."""
     path = new_path(spark, "media")
     write_media(documents(spark, sf_dir), path)
-    ddl = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
-    return read_media(spark, path).mapInArrow(_features, ddl)
+    return read_media(spark, path, _features, FEATURES_DDL)

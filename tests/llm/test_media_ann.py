@@ -2,17 +2,20 @@
 
 import hashlib
 import random
+import struct
+import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
 from tessera.llm import ann, media
-from tessera.llm.common import new_path
+from tessera.llm.common import ARROW_BYTES, new_path
 
 
 def slow_cuts(p):
@@ -75,6 +78,54 @@ def test_media_features(spark, tmp_path):
     assert got[1][2:] == got[2][2:] and got[3].payload_bytes == 64 and got[3].n_bytes == 0
 
 
+def stored(n, repeats):
+    """A batch as _rebuild gets it: n media of one shared chunk that comes again and again."""
+    part = bytes(range(256)) * 32
+    d = hashlib.blake2b(part, digest_size=16).digest()
+    recipe = (d + struct.pack("<I", len(part))) * repeats
+    kind = pa.list_(pa.struct([("digest", pa.binary()), ("payload", pa.binary())]))
+    cols = [pa.array(range(n), pa.int64()), pa.array([len(part) * repeats] * n, pa.int64()), pa.array([recipe] * n), pa.array([b"\1" * repeats] * n), pa.array([b""] * n), pa.array([[{"digest": d, "payload": part}]] * n, kind)]
+    return part * repeats, pa.record_batch(cols, ["doc_id", "n_bytes", "recipe", "shared", "body", "parts"])
+
+
+def test_media_longer_than_their_chunks_leave_in_bounded_batches():
+    payload, batch = stored(60, 100)
+    got = list(media._rebuild([batch]))
+    assert max(b.nbytes for b in got) <= ARROW_BYTES + (1 << 16) and sum(b.nbytes for b in got) > 5 * ARROW_BYTES
+    assert [i for b in got for i in b.column(0).to_pylist()] == list(range(60))
+    assert all(p == payload for b in got for p in b.column(3).to_pylist())
+    assert sum(b.num_rows for b in media._rebuild([stored(2, 2000)[1]])) == 2  # each above the bound by itself
+    assert [b.num_rows for b in media._rebuild([])] == [0]
+
+
+def test_features_of_media_need_one_at_a_time():
+    """Put together and described in one pass, the peak is that of one medium and not of its batch."""
+    payload, batch = stored(60, 100)
+    tracemalloc.start()
+    (got,) = media._features([batch])
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 16 * len(payload) < 60 * len(payload)
+    assert got.column(0).to_pylist() == list(range(60)) and set(got.column(3).to_pylist()) == {hashlib.sha256(payload).hexdigest()}
+
+
+def test_payloads_are_described_where_they_are_put_together(spark, tmp_path):
+    """No plan of op9 hands payloads from one Python worker to the next."""
+    spark.createDataFrame([(1, "abc"), (2, "abc")], "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = media.op9_chunked_media(spark, str(tmp_path))._jdf.queryExecution().optimizedPlan().toString()
+    depth = [len(line) - len(line.lstrip(" :+-|")) for line in plan.splitlines() if "MapInArrow" in line]
+    assert len(depth) == 2 == depth.count(depth[0])
+
+
+@given(st.binary(min_size=1, max_size=400), st.sampled_from([1, 3, 9000]))
+@settings(max_examples=40, deadline=None)
+def test_feature_against_all_samples(raw, times):
+    x = np.frombuffer(raw * times, "u1")
+    mean, std, hist = (part.split("=")[1] for part in media.feature(raw * times).split(";"))
+    assert abs(float(mean) - x.mean()) < 1e-4 and abs(float(std) - x.astype("f8").std()) < 1e-4
+    assert np.allclose([float(v) for v in hist.split(",")], [((x >= 32 * k) & (x < 32 * k + 32)).mean() for k in range(8)], atol=1e-4)
+
+
 def test_media_empty(spark, empty):
     path = new_path(spark, "m")
     media.write_media(empty, path)
